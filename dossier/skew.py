@@ -1,0 +1,60 @@
+"""Groups that may hold a large share of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Up to this many oversized keys are listed in the plan; more are joined.
+LISTED_KEYS = 1000
+SALTS = 16
+# Positions per bucket of an ordered scan (see ``position_bucket``).
+BUCKET_POSITIONS = 1 << 20
+
+
+def position_bucket(position: Column, width: int = BUCKET_POSITIONS) -> Column:
+    """Bucket of a sequence number.
+
+    Sequence numbers do not repeat within a group, so (group, bucket) holds at
+    most ``width`` positions however large the group is.
+    """
+    return F.floor(position / F.lit(width)).cast("long")
+
+
+def with_part(
+    rows: DataFrame,
+    key: str,
+    position: str,
+    limit: int,
+    sizes: DataFrame | None = None,
+    listed_keys: int = LISTED_KEYS,
+) -> DataFrame:
+    """Adds ``part`` so that collecting by (key, part) stays bounded.
+
+    Keys with up to ``limit`` rows get part 0. A larger key is cut along
+    ``position`` into consecutive parts of at most ``limit`` positions, none of
+    its rows dropped. ``sizes`` is a cheaper table to count keys in.
+
+    Oversized keys are rare: a bounded look tells whether they fit into the
+    plan as a list. When they do not, they are joined with salted keys, so that
+    an oversized key's rows spread over several tasks.
+    """
+    counted = (rows if sizes is None else sizes).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    oversized = counted.filter(F.col("_n") > limit).select(key)
+    listed = [row[0] for row in oversized.limit(listed_keys + 1).collect()]
+    part = F.greatest(position_bucket(F.col(position), limit), F.lit(0))
+    if not listed:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    if len(listed) <= listed_keys:
+        return rows.withColumn(
+            "part", F.when(F.col(key).isin(listed), part).otherwise(F.lit(0))
+        )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    marked = oversized.select(key, salts.alias("_salt"), F.lit(True).alias("_oversized"))
+    salt = F.pmod(F.hash(F.col(position)), F.lit(SALTS))
+    return (
+        rows.withColumn("_salt", salt)
+        .join(marked, [key, "_salt"], "left")
+        .withColumn("part", F.when(F.col("_oversized"), part).otherwise(F.lit(0)))
+        .drop("_salt", "_oversized")
+    )
