@@ -14,9 +14,10 @@ def with_computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     a generator cannot be taken apart that way, and a generator over a
     one-element array neither adds rows nor shuffles.
     """
-    computed = F.struct(*[column.alias(name) for name, column in columns.items()])
     kept = [name for name in rows.columns if name not in columns]
-    return rows.select(*kept, F.inline_outer(F.array(computed)))
+    # The projection evaluates (with shared subexpressions), the generator only fences.
+    fenced = F.inline_outer(F.array(F.struct(*columns)))
+    return rows.withColumns(columns).select(*kept, fenced)
 
 
 def exploded(rows: DataFrame, kept: list[str], items: str, position: str, item: str) -> DataFrame:
