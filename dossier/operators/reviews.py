@@ -130,66 +130,67 @@ def apply_case_reviews(
 ) -> DataFrame:
     """Fields of the cases after all reviews, reviewer-entered ones included."""
     targets = mention_targets(fields, reviews, bucket_positions)
-    generic = F.lit(GENERIC_DOCUMENT_TYPE)
-
-    changed = targets.filter(F.col("target").isNotNull()).select(
-        F.col("target").alias("field_id"),
-        F.col("value").alias("new_value"),
-        validate(F.col("key"), F.col("value"), generic).alias("check"),
-        F.lit(True).alias("changed"),
+    # A mention without a target enters a field of its own. Having an id as well,
+    # such rows are spread over the join like all others.
+    entered_id = stable_id("fld", F.col("case_id"), F.lit(REVIEWER), F.col("key"))
+    changes = targets.select(
+        F.coalesce("target", entered_id).alias("field_id"),
+        F.struct(
+            "case_id",
+            "key",
+            "value",
+            "first",
+            F.col("target").isNull().alias("entered"),
+            # Entered and never changed afterwards: taken as it is.
+            (F.col("target").isNull() & (F.col("times") == 1)).alias("unchecked"),
+            validate(F.col("key"), F.col("value"), F.lit(GENERIC_DOCUMENT_TYPE)).alias("check"),
+        ).alias("change"),
     )
-    joined = fields.join(changed, "field_id", "left")
-    when_changed = {
-        "value": F.col("new_value"),
+    joined = fields.join(changes, "field_id", "full")
+
+    change = F.col("change")
+    reviewed = change.isNotNull()
+    entered = F.coalesce(change["entered"], F.lit(False))
+    unchecked = F.coalesce(change["unchecked"], F.lit(False))
+    no_text = F.lit(None).cast("string")
+    entered_evidence = F.struct(
+        no_text.alias("document_id"),
+        F.lit(1).alias("source_page"),
+        F.lit(None).cast("array<int>").alias("bbox"),
+        F.lit(ENTERED_EVIDENCE).alias("evidence_text"),
+        no_text.alias("image_crop_uri"),
+    ).cast(EVIDENCE)
+    # Columns of an entered field that other fields bring along.
+    when_entered = {
+        "case_id": change["case_id"],
+        "event_seq": change["first"]["event_seq"],
+        "field_seq": change["first"]["sub_seq"],
+        "key": change["key"],
+        "label": title_label(change["key"]),
+        "required": F.lit(True),
+        "evidence": entered_evidence,
+        "review_status": F.lit(DEFAULT_REVIEW_STATUS),
+    }
+    # Columns a review sets on either kind.
+    when_reviewed = {
+        "value": change["value"],
         "confidence": F.lit(REVIEWED_CONFIDENCE),
-        "source": F.lit(VERIFIED_SOURCE),
-        "validation_status": F.col("check.status"),
-        "validation_message": F.col("check.message"),
+        "source": F.when(unchecked, ENTERED_SOURCE).otherwise(VERIFIED_SOURCE),
+        "validation_status": F.when(unchecked, "valid").otherwise(change["check"]["status"]),
+        "validation_message": F.when(unchecked, ENTERED_MESSAGE).otherwise(
+            change["check"]["message"]
+        ),
         "extracted_by": F.lit(REVIEWER),
     }
-    existing = joined.select(
-        *[
-            F.when(F.col("changed"), when_changed[name]).otherwise(F.col(name)).alias(name)
-            if name in when_changed
-            else F.col(name)
-            for name in FIELD_COLUMNS
-        ]
-    )
 
-    entered_once = F.col("times") == 1
-    check = validate(F.col("key"), F.col("value"), generic)
-    no_text = F.lit(None).cast("string")
-    no_box = F.lit(None).cast("array<int>")
-    entered = targets.filter(F.col("target").isNull()).select(
-        "case_id",
-        no_text.alias("document_id"),
-        stable_id("fld", F.col("case_id"), F.lit(REVIEWER), F.col("key")).alias("field_id"),
-        F.col("first.event_seq").alias("event_seq"),
-        F.col("first.sub_seq").alias("field_seq"),
-        "key",
-        title_label(F.col("key")).alias("label"),
-        "value",
-        F.lit(REVIEWED_CONFIDENCE).alias("confidence"),
-        F.lit(True).alias("required"),
-        F.when(entered_once, ENTERED_SOURCE).otherwise(VERIFIED_SOURCE).alias("source"),
-        F.when(entered_once, "valid").otherwise(check["status"]).alias("validation_status"),
-        F.when(entered_once, ENTERED_MESSAGE)
-        .otherwise(check["message"])
-        .alias("validation_message"),
-        no_box.alias("bbox"),
-        F.struct(
-            no_text.alias("document_id"),
-            F.lit(1).alias("source_page"),
-            no_box.alias("bbox"),
-            F.lit(ENTERED_EVIDENCE).alias("evidence_text"),
-            no_text.alias("image_crop_uri"),
-        )
-        .cast(EVIDENCE)
-        .alias("evidence"),
-        F.lit(REVIEWER).alias("extracted_by"),
-        F.lit(DEFAULT_REVIEW_STATUS).alias("review_status"),
-    )
-    return existing.unionByName(entered)
+    def column(name: str):
+        if name in when_entered:
+            return F.when(entered, when_entered[name]).otherwise(F.col(name)).alias(name)
+        if name in when_reviewed:
+            return F.when(reviewed, when_reviewed[name]).otherwise(F.col(name)).alias(name)
+        return F.col(name)
+
+    return joined.select(*[column(name) for name in FIELD_COLUMNS])
 
 
 def apply_document_reviews(fields: DataFrame, reviews: DataFrame) -> DataFrame:

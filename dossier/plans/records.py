@@ -11,6 +11,7 @@ from dossier.operators.template_fields import (
     raw_text_fields,
     template_fields,
 )
+from dossier.session import materialise
 from dossier.sources.templates import templates, without_template
 
 
@@ -23,10 +24,16 @@ class TemplateRun(NamedTuple):
 def read_by_template(
     documents: DataFrame, observations: DataFrame, template_table: DataFrame | None = None
 ) -> TemplateRun:
-    """Fields, records, and the documents whose type has no template."""
+    """Fields, records, and the documents whose type has no template.
+
+    The template fields are written once: the scores, the raw-text fallback and
+    the result itself all start from them.
+    """
     if template_table is None:
         template_table = templates(documents.sparkSession)
-    fields = template_fields(documents, observations, template_table)
+    fields = materialise(
+        template_fields(documents, observations, template_table), "template-fields"
+    )
     return TemplateRun(
         records=document_records(documents, fields),
         fields=fields.unionByName(raw_text_fields(fields, observations)),
