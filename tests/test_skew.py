@@ -1,0 +1,92 @@
+"""Oversized groups: same results, cut into bounded parts."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from dossier.operators import audit, cases, exports
+from dossier.operators.template_fields import raw_text_fields, template_fields
+from dossier.plans.processing import document_fields, document_findings, process_documents
+from dossier.schemas import OBSERVATIONS
+from dossier.skew import with_part
+from dossier.sources.templates import templates
+
+T0 = datetime(2026, 5, 27)
+
+
+def _rows(spark):
+    """Key 0 holds a third of all rows."""
+    ids = spark.range(3000)
+    key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 200 + 1)
+    return ids.select(key.cast("string").alias("k"), F.col("id").alias("position"))
+
+
+@pytest.mark.parametrize("listed_keys", [1000, 0])
+def test_parts_are_bounded_and_whole(spark, listed_keys):
+    """With the oversized keys listed in the plan, and joined with salts."""
+    parts = with_part(_rows(spark), "k", "position", 100, listed_keys=listed_keys)
+    sizes = parts.groupBy("k", "part").count().collect()
+    assert sum(row["count"] for row in sizes) == 3000
+    assert max(row["count"] for row in sizes) <= 100
+    assert {row.part for row in sizes if row.k != "0"} == {0}
+    assert len({row.part for row in sizes if row.k == "0"}) == 30
+
+
+def test_without_oversized_keys(spark):
+    parts = with_part(_rows(spark), "k", "position", 5000)
+    assert {row.part for row in parts.select("part").distinct().collect()} == {0}
+
+
+def test_long_raw_text_continues(spark):
+    texts = [("long", n, "raw_text", f"t{n}", 0.5) for n in range(25)] + [("short", 0, "x", "s", 0.5)]
+    observations = spark.createDataFrame(texts, OBSERVATIONS)
+    documents = spark.createDataFrame([("long", "cheque"), ("short", "cheque")], "document_id string, document_type string")
+    fields = template_fields(documents, observations, templates(spark))
+    rows = raw_text_fields(fields, observations, limit=10).orderBy("field_seq").collect()
+    long = [r.value for r in rows if r.document_id == "long"]
+    assert len(long) == 3 and "\n".join(long) == "\n".join(f"t{n}" for n in range(25))
+    assert [r.value for r in rows if r.document_id == "short"] == ["s"]
+
+
+def test_export_parts_put_end_to_end(spark):
+    known = spark.createDataFrame(
+        [("big", "individual_kyc"), ("small", "business_kyb")], "case_id string, case_type string"
+    ).selectExpr(
+        "*", "'n' AS applicant_name", "'i' AS institution_id", "'b' AS branch_code", "'r' AS integration_ref",
+        "'created' AS status", "'medium' AS risk_level", "TIMESTAMP_NTZ'2026-05-27 00:00:00' AS created_at",
+        "TIMESTAMP_NTZ'2026-05-27 00:00:00' AS updated_at", "1L AS case_seq",
+    )
+    uploads = spark.range(60).select(
+        F.when(F.col("id") < 57, "big").otherwise("small").alias("case_id"),
+        F.format_string("d%03d", "id").alias("document_id"),
+        F.lit("f").alias("filename"),
+        F.lit("Sita Sharma").cast("binary").alias("content"),
+        F.lit("unknown").alias("declared_document_type"),
+        F.lit(T0).cast("timestamp_ntz").alias("uploaded_at"),
+        F.col("id").alias("event_seq"),
+    )
+    from dossier.schemas import REVIEWS
+
+    found = spark.createDataFrame([], REVIEWS)
+    documents = process_documents(uploads, known)
+    fields, findings = document_fields(documents), document_findings(documents)
+    headers = cases.case_headers(known, uploads, found)
+    rows = audit.case_audit(known, documents, found)
+    sizes = uploads.select("case_id")
+    whole = exports.assemble_cases(headers, documents, fields, findings, rows).collect()
+    parts = exports.assemble_cases(headers, documents, fields, findings, rows, sizes, limit=10).orderBy("part").collect()
+    assert len(whole) == 2 and len(parts) == 7
+    for case in whole:
+        mine = [part for part in parts if part.case_id == case.case_id]
+        assert max(len(part.documents) for part in mine) <= 10
+        for name in ("documents", "extracted_fields", "validation_findings", "audit_events"):
+            assert [item for part in mine for item in part[name]] == case[name]
+        assert mine[0].applicant_name == "n"
+
+    at = F.lit(T0).cast("timestamp_ntz")
+    exported = exports.export_cases(headers, documents, fields, findings, rows, at, sizes, limit=10).orderBy("part").collect()
+    big = [part for part in exported if part.case_id == "big"]
+    assert [item.document_id for part in big for item in part.documents] == [f"d{n:03d}" for n in range(57)]
+    # One key, so its last field is exported, once.
+    assert [part.evidence["full_name"].document_id for part in big if part.fields] == ["d056"]
