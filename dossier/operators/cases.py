@@ -110,22 +110,13 @@ def documents_per_case(cases: DataFrame, uploads: DataFrame) -> DataFrame:
 def case_metrics(headers: DataFrame, documents: DataFrame) -> DataFrame:
     """One row: cases, cases in review, cases approved, documents.
 
-    Both tables are counted first and only the counts are put together.
+    Documents are counted per case before they meet the cases.
     """
-    case_counts = headers.agg(
+    return documents_per_case(headers, documents).agg(
         F.count(F.lit(1)).alias("cases"),
         F.count_if(F.col("status") == "review_required").alias("review"),
         F.count_if(F.col("status") == "approved").alias("approved"),
-        F.lit(0).cast("long").alias("documents"),
-    )
-    zero = F.lit(0).cast("long")
-    known = documents.join(headers.select("case_id"), "case_id", "left_semi")
-    document_counts = known.agg(F.count(F.lit(1)).alias("documents")).select(
-        zero.alias("cases"), zero.alias("review"), zero.alias("approved"), "documents"
-    )
-    names = ("cases", "review", "approved", "documents")
-    return case_counts.unionByName(document_counts).agg(
-        *[F.sum(name).alias(name) for name in names]
+        F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"),
     )
 
 

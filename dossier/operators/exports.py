@@ -18,7 +18,8 @@ from dossier.operators import audit as audit_rows
 from dossier.operators.audit import FIRST_EVENT
 from dossier.skew import with_part
 
-PART_EVENTS = 50_000
+# A part is collected into one row, document pages included.
+PART_EVENTS = 5_000
 
 
 def last_fields(fields: DataFrame, key: str = "case_id") -> DataFrame:
@@ -89,6 +90,7 @@ DOCUMENT_MEMBERS = [
     "updated_at",
 ]
 AUDIT_MEMBERS = ["action", "actor", "note", "metadata", "created_at"]
+REVIEW_MEMBERS = ["reviewer", "note", "reviewed_at"]
 HEADER_MEMBERS = [
     "case_type",
     "applicant_name",
@@ -99,9 +101,7 @@ HEADER_MEMBERS = [
     "risk_level",
     "created_at",
     "updated_at",
-    "reviewer",
-    "note",
-    "reviewed_at",
+    *REVIEW_MEMBERS,
 ]
 
 
@@ -165,7 +165,7 @@ def _document_members(collected: DataFrame) -> list[str]:
 
 
 def _review() -> Column:
-    return F.struct("header.reviewer", "header.note", "header.reviewed_at")
+    return F.struct(*[f"header.{name}" for name in REVIEW_MEMBERS])
 
 
 def assemble_cases(
@@ -192,7 +192,7 @@ def assemble_cases(
     return collected.select(
         "case_id",
         "part",
-        *[f"header.{name}" for name in HEADER_MEMBERS if name not in ("reviewer", "note", "reviewed_at")],
+        *[f"header.{name}" for name in HEADER_MEMBERS if name not in REVIEW_MEMBERS],
         _without_order(F.col("documents"), _document_members(collected)).alias("documents"),
         _without_order(F.col("fields"), FIELD_MEMBERS).alias("extracted_fields"),
         _without_order(F.col("findings"), FINDING_MEMBERS).alias("validation_findings"),
@@ -255,7 +255,7 @@ def export_documents(
     No audit row is written for it. ``records`` are reviewed records.
     """
     members = ["key", "value", "confidence", "validation_status", "validation_message"]
-    header = ["document_type", "status", "overall_confidence", "reviewer", "note", "reviewed_at"]
+    header = ["document_type", "status", "overall_confidence", *REVIEW_MEMBERS]
     first = F.lit(FIRST_EVENT)
     metadata = F.map_entries("metadata").alias("metadata")
     audit_members = [metadata if name == "metadata" else F.col(name) for name in AUDIT_MEMBERS]
@@ -285,9 +285,12 @@ def export_documents(
         ]
     )
     collected = _collected(entries, "document_id", ["fields", "audit_events"], limit, sizes)
-    verdict = lambda item: F.struct(
-        item["validation_status"].alias("status"), item["validation_message"].alias("message")
-    )
+
+    def verdict(item: Column) -> Column:
+        return F.struct(
+            item["validation_status"].alias("status"), item["validation_message"].alias("message")
+        )
+
     return collected.select(
         "document_id",
         "part",

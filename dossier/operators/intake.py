@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.text import stable_id
 from dossier.schemas import (
     CASE_TYPES,
     DEFAULT_CASE_TYPE,
@@ -40,9 +41,10 @@ def check_domain(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
 
 
 def create_cases(requests: DataFrame) -> DataFrame:
-    """Cases from accepted requests, defaults filled in."""
+    """Cases from accepted requests, ids and defaults filled in."""
+    generated = stable_id("case", F.col("case_seq"), F.col("created_at"), F.col("applicant_name"))
     return requests.select(
-        "case_id",
+        F.coalesce("case_id", generated).alias("case_id"),
         F.coalesce("case_type", F.lit(DEFAULT_CASE_TYPE)).alias("case_type"),
         "applicant_name",
         F.coalesce("institution_id", F.lit(DEFAULT_INSTITUTION)).alias("institution_id"),

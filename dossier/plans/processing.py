@@ -1,8 +1,8 @@
 """Uploads to documents, fields and findings.
 
 Only what is read off the text (type, rule hits, page score) travels on; the
-text stays where it was scanned. The two joins, with the cases and with the
-model responses, therefore move narrow rows.
+text stays where it was scanned. The joins, with the cases and with the model
+responses, therefore move narrow rows.
 """
 
 from __future__ import annotations
@@ -84,14 +84,20 @@ def process_documents(
     ``responses=None`` means the model step is switched off: every document is
     read by rules. ``keep_pages`` carries the text blocks along for exports.
     """
-    signals = document_signals(uploads, rules, keep_pages)
-    known = signals.join(cases.select("case_id", "case_type"), "case_id")
+    # Cases may be very unequal in size, so only ids meet them. What was read off
+    # the text (and the pages, if kept) is shuffled once, by its own document's id.
+    case_types = (
+        uploads.select("document_id", "case_id")
+        .join(cases.select("case_id", "case_type"), "case_id")
+        .select("document_id", "case_type")
+    )
     if responses is None:
-        answered = known.select(
+        verdicts = case_types.select(
             "*", *[F.lit(None).cast(field.dataType).alias(field.name) for field in PARSED]
         )
     else:
-        answered = known.join(parse_responses(responses), "document_id", "left")
+        verdicts = case_types.join(parse_responses(responses), "document_id", "left")
+    answered = document_signals(uploads, rules, keep_pages).join(verdicts, "document_id")
 
     parsed = F.col("outcome") == "parsed"
     review_finding = finding(*REVIEW_FINDING)

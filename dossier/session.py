@@ -30,9 +30,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if root:
         return root
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

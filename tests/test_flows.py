@@ -150,6 +150,9 @@ def test_case_flow(spark, tmp_path):
     }
     known = intake.create_cases(accepted)
     c2 = known.filter("case_id = 'c2'").first()
+    bare = requests.filter("case_seq = 1").withColumn("case_id", F.lit(None).cast("string"))
+    ids = [intake.create_cases(bare).first().case_id for _ in range(2)]
+    assert ids[0] == ids[1] and ids[0].startswith("case_") and len(ids[0]) == 21
     assert (c2.case_type, c2.institution_id, c2.risk_level, c2.status) == ("individual_kyc", "demo-institution", "medium", "created")
     assert [r.document_id for r in unknown_case(uploads, known).collect()] == ["d4"]
 
@@ -240,3 +243,12 @@ def test_listings(spark):
     wanted = spark.createDataFrame([("c1",), ("zz",)], "case_id string")
     hit, missing = cases.lookup(known, wanted, "case_id")
     assert [r.case_id for r in hit.collect()] == ["c1"] and [r.case_id for r in missing.collect()] == ["zz"]
+
+
+def test_upload_and_review_checks(spark):
+    _, uploads, found = _case_tables(spark)
+    odd = uploads.withColumn("declared_document_type", F.when(F.col("document_id") == "d1", "memo").otherwise("pan"))
+    ok, rejected = intake.check_domain(odd, "upload")
+    assert ok.count() == 3 and rejected.first().reason == "declared_document_type is not allowed"
+    anonymous = found.withColumn("reviewer", F.lit(None).cast("string"))
+    assert {r.reason for r in intake.check_domain(anonymous, "review")[1].collect()} == {"reviewer is required"}
