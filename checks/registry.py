@@ -103,14 +103,14 @@ class Flows(Inputs):
     @cached_property
     def known_record_reviews(self) -> DataFrame:
         served = self.records.join(
-            self.templates.select("document_type").distinct(), "document_type", "left_semi"
+            self.templates.select("document_type"), "document_type", "left_semi"
         )
         return self.document_reviews.join(served.select("document_id"), "document_id", "left_semi")
 
     @cached_property
     def record_audit(self) -> DataFrame:
         served = self.records.join(
-            self.templates.select("document_type").distinct(), "document_type", "left_semi"
+            self.templates.select("document_type"), "document_type", "left_semi"
         )
         return audit.document_audit(served, self.document_reviews, self.templates)
 

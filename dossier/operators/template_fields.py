@@ -47,7 +47,7 @@ def template_fields(
 
     ``documents`` needs document_id and document_type.
     """
-    keys = template_table.select(F.col("key").alias("field_key")).distinct()
+    keys = template_table.select(F.col("key").alias("field_key"))
     wanted = observations.join(keys, "field_key", "left_semi")
     expected = documents.select("document_id", "document_type").join(
         template_table, "document_type"

@@ -86,5 +86,4 @@ def template_lookup(documents: DataFrame, template_table: DataFrame) -> DataFram
 
 def without_template(documents: DataFrame, template_table: DataFrame) -> DataFrame:
     """Documents whose type has no template; they cannot be read by template."""
-    types = template_table.select("document_type").distinct()
-    return documents.join(types, "document_type", "left_anti")
+    return documents.join(template_table.select("document_type"), "document_type", "left_anti")
