@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from dossier.llm.common import ship
+from dossier.llm.hmm import op7_hmm_scoring
+from dossier.llm.license_scan import op1_license_scan
+from dossier.llm.merge_dropout import op8_merge_dropout
+from dossier.llm.nearest import op5_nearest_vectors
+from dossier.llm.packing import op4_best_fit_packing
+from dossier.llm.quality_classifier import op9_quality_classifier
 from dossier.llm.quality_rules import op10_quality_rules
+from dossier.llm.simhash import op6_simhash
+from dossier.llm.suffix_dedup import op2_suffix_dedup
 from dossier.llm.url_filters import op3_url_filters
 
+
+def shipped(query):
+    """``query`` after handing the package to the executors."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    "op3_url_filters": op3_url_filters,
-    "op10_quality_rules": op10_quality_rules,
+    query.__name__: shipped(query)
+    for query in (
+        op1_license_scan, op2_suffix_dedup, op3_url_filters, op4_best_fit_packing, op5_nearest_vectors,
+        op6_simhash, op7_hmm_scoring, op8_merge_dropout, op9_quality_classifier, op10_quality_rules,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
