@@ -1,7 +1,7 @@
 """How the given tables stand in for the library's inputs.
 
 Each binding is one SELECT over whole tables that both Spark and DuckDB run;
-``{minutes(..)}`` marks the one expression they spell differently. None of the
+``{minutes(..)}`` and ``{json(..)}`` mark the expressions they spell differently. None of the
 given tables holds identity documents, so header lines, keys and values are
 derived from their columns; no row is left out.
 """
@@ -19,8 +19,7 @@ UPLOADS = """
 SELECT concat('doc_', doc_id) AS document_id,
   concat('case_', CAST(floor(doc_id / 5.0) AS BIGINT)) AS case_id,
   CASE WHEN source = 'src3' THEN '' ELSE concat('upload-', doc_id, '.txt') END AS filename,
-  CASE WHEN source = 'src11' THEN repeat(' ', CAST(length(text) AS INT))
-       ELSE concat(CASE doc_id % 8
+  concat(CASE doc_id % 8
          WHEN 0 THEN concat('Name: Sita Sharma', chr(10), 'Citizenship No: 27-01-78-12345', chr(10))
          WHEN 1 THEN concat('PAN card', chr(10))
          WHEN 2 THEN concat('Cheque leaf', chr(10))
@@ -28,7 +27,7 @@ SELECT concat('doc_', doc_id) AS document_id,
          WHEN 4 THEN concat('Registration certificate', chr(13), chr(10))
          WHEN 5 THEN concat('  SITA SHARMA', chr(9), chr(10), chr(10))
          WHEN 6 THEN concat('No: 27-01-78-12345', chr(11))
-         ELSE '' END, text) END AS text,
+         ELSE '' END, text) AS text,
   source = 'src7' AS corrupt,
   CASE WHEN doc_id % 5 = 0 THEN 'citizenship' ELSE 'unknown' END AS declared_document_type,
   {minutes(doc_id)} AS uploaded_at,
@@ -185,11 +184,15 @@ SELECT concat('doc_', doc_id) AS document_id,
       '","required":false,"evidence_text":"seen"}],"findings":""}')
     WHEN 11 THEN '{"document_type": "", "summary": "empty", "fields": {}, "findings": []}'
     ELSE body END AS content,
-  CASE WHEN doc_id % 13 = 6 THEN 'timeout' ELSE CAST(NULL AS STRING) END AS error
+  CASE WHEN doc_id % 13 = 6 THEN 'timeout' ELSE CAST(NULL AS STRING) END AS error,
+  1 AS response_seq
 FROM (SELECT doc_id, concat('{"document_type":"citizenship","summary":"s","fields":[{"key":"full_name","value":"N', doc_id,
   '","confidence":', CAST(CAST(doc_id % 1000 AS DECIMAL(10,3)) / 1000 AS DECIMAL(10,3)),
-  ',"source_page":1,"evidence_text":"","bbox":[1,2,3,4]}],"findings":[{"code":"needs_review","field_key":"full_name"}]}') AS body
+  ',"source_page":1,"evidence_text":', {json(text)}, ',"bbox":[1,2,3,4]}],"findings":[{"code":"needs_review","field_key":"full_name"}]}') AS body
   FROM documents) d
+UNION ALL
+SELECT concat('doc_', doc_id), concat('{"document_type":"vat","summary":', {json(text)}, '}'), NULL, 0
+FROM documents WHERE doc_id % 17 = 3
 """
 
 BINDINGS = {
@@ -202,14 +205,17 @@ BINDINGS = {
     "b_responses": RESPONSES,
 }
 
+_JSON = re.compile(r"\{json\((\w+)\)\}")
 _MINUTES = re.compile(r"\{minutes\((.*?)\)\}(?= AS )", re.DOTALL)
 
 
 def for_duckdb(sql: str) -> str:
+    sql = _JSON.sub(r"CAST(to_json(\1) AS VARCHAR)", sql)
     return _MINUTES.sub(r"TIMESTAMP '2024-01-01 00:00:00' + to_minutes(\1)", sql)
 
 
 def for_spark(sql: str) -> str:
+    sql = _JSON.sub(r"substr(to_json(array(\1)), 2, length(to_json(array(\1))) - 2)", sql)
     return _MINUTES.sub(
         r"TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(\1 AS INT))", sql
     )

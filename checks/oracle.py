@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from checks.bindings import BINDINGS, for_duckdb
-from dossier.sources.templates import TEMPLATE_FIELDS
 
 WS = "".join(chr(code) for code in range(0x3100) if chr(code).isspace())
 WS_CLASS = (
@@ -30,7 +29,7 @@ def round2(value: str) -> str:
 
 
 def check(key: str, value: str, document_type: str, part: str) -> str:
-    """The status or the message of a field value."""
+    """The status or the message of a field value; formats and messages are fixed values."""
     v = strip(value)
 
     def pick(status: str, message: str) -> str:
@@ -100,10 +99,28 @@ _DOC_ACTION = (
     "ELSE 'review_saved' END"
 )
 
+# The document templates, stated here for the twin alone.
+_TEMPLATES = (
+    ("citizenship", "Citizenship Card", 0, "name", "Name", True, (120, 170, 520, 215)),
+    ("citizenship", "Citizenship Card", 1, "dob", "Date of Birth", True, (120, 225, 360, 265)),
+    ("citizenship", "Citizenship Card", 2, "citizenship_number", "Citizenship Number", True, (470, 120, 760, 165)),
+    ("citizenship", "Citizenship Card", 3, "address", "Address", True, (120, 285, 760, 340)),
+    ("citizenship", "Citizenship Card", 4, "father_mother_name", "Father/Mother Name", False, (120, 350, 760, 400)),
+    ("account_opening", "Account Opening Form", 0, "customer_name", "Customer Name", True, (160, 130, 620, 175)),
+    ("account_opening", "Account Opening Form", 1, "mobile", "Mobile", True, (160, 195, 420, 235)),
+    ("account_opening", "Account Opening Form", 2, "address", "Address", True, (160, 255, 720, 305)),
+    ("account_opening", "Account Opening Form", 3, "account_type", "Account Type", True, (160, 330, 460, 370)),
+    ("account_opening", "Account Opening Form", 4, "pan", "PAN", False, (160, 395, 420, 435)),
+    ("account_opening", "Account Opening Form", 5, "email", "Email", False, (160, 460, 620, 500)),
+    ("cheque", "Cheque", 0, "cheque_number", "Cheque Number", True, (60, 40, 260, 85)),
+    ("cheque", "Cheque", 1, "date", "Date", True, (600, 45, 760, 90)),
+    ("cheque", "Cheque", 2, "amount", "Amount", True, (560, 180, 760, 230)),
+    ("cheque", "Cheque", 3, "payee", "Payee", True, (140, 120, 650, 165)),
+)
 _TEMPLATE_ROWS = ", ".join(
     f"('{doc}', '{name}', {seq}, '{key}', '{label}', {str(required).lower()}, "
     f"'{','.join(map(str, box))}')"
-    for doc, name, seq, key, label, required, box in TEMPLATE_FIELDS
+    for doc, name, seq, key, label, required, box in _TEMPLATES
 )
 
 
@@ -138,6 +155,10 @@ FROM (SELECT document_id, lines, unnest(CAST(range(1, len(lines) + 1) AS INT[]))
 SELECT document_id, len(lines) AS n, CAST(CASE WHEN len(lines) = 1 THEN 0.88 WHEN len(lines) = 2 THEN 0.85
   WHEN len(lines) = 3 THEN 0.84 WHEN len(lines) <= 12 THEN 0.83 ELSE 0.82 END AS DOUBLE) AS ocr_confidence
 FROM o_doc""",
+    "o_pages": """
+SELECT document_id, concat('1|1000|1400|', max(ocr_confidence), '|', string_agg(concat(text, ';80,', top, ',920,',
+  top + 34, ';', confidence, ';text;mixed'), '|' ORDER BY block_index)) AS pages
+FROM o_blocks JOIN o_page USING (document_id) GROUP BY document_id""",
     "o_cases": f"""
 SELECT case_id, coalesce(case_type, 'individual_kyc') AS case_type, applicant_name,
   coalesce(institution_id, 'demo-institution') AS institution_id, branch_code,
@@ -173,9 +194,10 @@ FROM o_known WHERE has_number""",
     "o_clean": f"""
 SELECT document_id, content, error, CASE WHEN starts_with(s, 'Here is') AND regexp_matches(s, '(?s)\\{{.*\\}}')
   THEN regexp_extract(s, '(?s)\\{{.*\\}}') ELSE s END AS cleaned
-FROM (SELECT document_id, content, error,
-  {strip(f"regexp_replace({strip('content')}, '(?im)^```(?:json)?[{WS_CLASS}]*|[{WS_CLASS}]*```$', '', 'g')")} AS s
-  FROM b_responses)""",
+FROM (SELECT document_id, last.c AS content, last.e AS error,
+  {strip(f"regexp_replace({strip('last.c')}, '(?im)^```(?:json)?[{WS_CLASS}]*|[{WS_CLASS}]*```$', '', 'g')")} AS s
+  FROM (SELECT document_id, arg_max({{'c': content, 'e': error}}, response_seq) AS last
+    FROM b_responses GROUP BY document_id))""",
     "o_parsed": f"""
 SELECT document_id, cleaned, document_type, failure,
   CASE WHEN content IS NULL AND error IS NULL THEN 'no_response' WHEN failure IS NULL THEN 'parsed'
@@ -264,15 +286,15 @@ FROM (SELECT r.document_id, r.document_type, t.field_seq, t.key, t.label, coales
   FROM b_records r JOIN o_templates t USING (document_type)
   LEFT JOIN o_latest l ON l.document_id = r.document_id AND l.key = t.key)""",
     "o_raw_text": """
-SELECT document_id, document_type, string_agg(text, chr(10) ORDER BY obs_seq) AS value
-FROM (SELECT document_id, document_type FROM o_template_fields GROUP BY ALL HAVING max(length(value)) = 0)
+SELECT document_id, document_type, field_seq, string_agg(text, chr(10) ORDER BY obs_seq) AS value
+FROM (SELECT document_id, document_type, count(*) AS field_seq FROM o_template_fields GROUP BY document_id, document_type HAVING max(length(value)) = 0)
   JOIN b_observations USING (document_id)
 GROUP BY ALL HAVING string_agg(text, chr(10) ORDER BY obs_seq) <> ''""",
     "o_record_fields": """
 SELECT document_id, document_type, field_seq, key, value, confidence, source, validation_status,
   validation_message FROM o_template_fields
 UNION ALL
-SELECT document_id, document_type, 1000, 'raw_text', value, CAST(0.5 AS DOUBLE), 'ocr', 'warning',
+SELECT document_id, document_type, field_seq, 'raw_text', value, CAST(0.5 AS DOUBLE), 'ocr', 'warning',
   'Raw OCR text requires reviewer mapping' FROM o_raw_text""",
     "o_records": f"""
 SELECT r.document_id, filename, r.document_type, created_at, {round2("low")} AS overall_confidence,
@@ -322,7 +344,7 @@ FROM (SELECT case_id, -1 AS event_seq, 'created' AS status, created_at AS moment
 GROUP BY case_id""",
     "o_last_review": """
 SELECT case_id, arg_max(reviewer, event_seq) AS reviewer, arg_max(note, event_seq) AS note,
-  max(event_seq) AS last_seq FROM o_reviews GROUP BY case_id""",
+  arg_max(reviewed_at, event_seq) AS reviewed_at FROM o_reviews GROUP BY case_id""",
     "o_audit": f"""
 SELECT case_id AS target_id, CAST(-1 AS BIGINT) AS event_seq, 0 AS sub_seq, 'case_created' AS action,
   'api' AS actor, concat('Created ', case_type, ' case') AS note, created_at,
@@ -346,7 +368,7 @@ SELECT v.* FROM b_document_reviews v JOIN o_records USING (document_id)""",
     "o_record_changes": """
 SELECT document_id, key, arg_max(value, event_seq) AS new_value FROM o_record_mentions GROUP BY ALL""",
     "o_reviewed_record_fields": f"""
-SELECT f.document_id, f.key, coalesce(new_value, value) AS value,
+SELECT f.document_id, f.field_seq, f.key, coalesce(new_value, value) AS value,
   CASE WHEN new_value IS NULL THEN confidence ELSE 1.0::DOUBLE END AS confidence, source,
   CASE WHEN new_value IS NULL THEN validation_status
     ELSE {check("f.key", "new_value", "document_type", "status")} END AS validation_status,
@@ -389,6 +411,28 @@ SELECT {_FLAT} FROM (SELECT *, {check("key", "value", "document_type", "status")
   {check("key", "value", "document_type", "message")} AS validation_message, 'needs_review' AS review_status
   FROM o_rule_fields)"""
 
+_EXPORTED_REVIEW = f"""UNION ALL BY NAME
+SELECT case_id, 'review' AS section, -1 AS event_seq, 0 AS sub_seq, NULL::VARCHAR AS key, reviewer,
+  note AS review_note, strftime(reviewed_at, '{AT}') AS reviewed_at
+FROM o_cases LEFT JOIN o_last_review USING (case_id)"""
+_EXPORTED_FINDINGS = """UNION ALL BY NAME
+SELECT case_id, '{section}' AS section, event_seq, finding_seq AS sub_seq, code AS key, severity, code, message,
+  field_key, document_id AS finding_document_id FROM o_findings"""
+_EXPORTED_DOCUMENTS = f"""UNION ALL BY NAME
+SELECT case_id, 'documents' AS section, event_seq, 0 AS sub_seq, document_id AS key, document_id AS id, filename,
+  declared_document_type, document_type, 'processed' AS document_status, CAST(1 AS BIGINT) AS page_count, summary,
+  strftime(uploaded_at, '{AT}') AS created_at, strftime(uploaded_at, '{AT}') AS updated_at {{more}}
+FROM o_documents JOIN o_pages USING (document_id)"""
+_METADATA = (
+    "array_to_string(list_filter([CASE WHEN action = 'case_created' THEN concat('customer_ref=', coalesce(customer_ref, '-')) END, "
+    "CASE WHEN action = 'document_uploaded' THEN concat('declared_document_type=', declared_document_type, "
+    "'|stored_path=', stored_path) END, CASE WHEN action = 'document_processed' THEN concat('document_id=', document_id, "
+    "'|document_type=', document_type) END], lambda x: x IS NOT NULL), '|')"
+)
+_EXPORTED_AUDIT = f"""UNION ALL BY NAME
+SELECT target_id AS {{owner}}, 'audit_events' AS section, event_seq, sub_seq, action AS key, action, actor, note,
+  {{metadata}} AS metadata, strftime(created_at, '{AT}') AS audit_at FROM {{rows}}"""
+
 FINALS = {
     "decode_uploads": "SELECT document_id, decoded AS text FROM o_text",
     "ocr_blocks": _BLOCKS,
@@ -461,6 +505,20 @@ SELECT case_id, case_type, applicant_name, institution_id, branch_code, integrat
 SELECT case_id, CASE WHEN applicant_name IS NULL THEN 'applicant_name is required'
   ELSE 'case_type is not allowed' END AS reason
 FROM b_requests WHERE applicant_name IS NULL OR case_type NOT IN {CASE_TYPES}""",
+    "upload_rejects": """
+SELECT document_id, 'declared_document_type is not allowed' AS reason
+FROM b_uploads WHERE document_id LIKE '%7'""",
+    "review_rejects": """
+SELECT case_id, event_seq, CASE WHEN event_seq % 14 = 1 THEN 'reviewer is required'
+  ELSE 'decision is required' END AS reason
+FROM b_case_reviews WHERE event_seq % 14 = 1 OR event_seq % 14 = 3""",
+    "duplicate_responses": """
+SELECT document_id, count(*) AS responses FROM b_responses GROUP BY document_id HAVING count(*) > 1""",
+    "list_documents": f"""
+SELECT document_id, filename, strftime(created_at, '{AT}') AS created_at FROM o_records""",
+    "document_lookup": """
+SELECT DISTINCT v.document_id, r.filename, r.document_id IS NOT NULL AS found
+FROM b_document_reviews v LEFT JOIN o_records r USING (document_id)""",
     "case_lookup": """
 SELECT DISTINCT u.case_id, c.applicant_name, c.case_id IS NOT NULL AS found
 FROM b_uploads u LEFT JOIN o_cases c USING (case_id)""",
@@ -471,49 +529,56 @@ SELECT case_id, event_seq, decision, {_STATUS} AS status_after, {_CASE_ACTION} A
 SELECT case_id, reviewer, note, strftime(reviewed_at, '{AT}') AS reviewed_at, {_STATUS} AS status_after
 FROM o_reviews r WHERE event_seq = (SELECT max(event_seq) FROM o_reviews x WHERE x.case_id = r.case_id)""",
     "case_status": f"SELECT case_id, status, strftime(updated_at, '{AT}') AS updated_at FROM o_status",
-    "document_review_fields": "SELECT * FROM o_reviewed_record_fields",
+    "document_review_fields": "SELECT * EXCLUDE (field_seq) FROM o_reviewed_record_fields",
     "document_review_state": f"""
 SELECT document_id, status, overall_confidence, reviewer, note, strftime(reviewed_at, '{AT}') AS reviewed_at
 FROM o_reviewed_records""",
     "case_export_fields": """
 SELECT case_id, key, r.value AS value, r.confidence AS confidence, r.source_page AS source_page,
   r.evidence_text AS evidence_text, r.document_id AS evidence_document_id FROM o_last_fields""",
-    "case_export": """
-SELECT c.case_id, CAST(0 AS BIGINT) AS part, case_type, integration_ref, institution_id, branch_code, s.status,
-  'medium' AS risk_level, coalesce(f.fields, '') AS fields, coalesce(f.evidence, '') AS evidence,
-  coalesce(n.findings, '') AS findings, coalesce(d.documents, '') AS documents, reviewer,
-  concat(a.actions, '|export_generated') AS audit_actions, integration_ref AS created_ref
-FROM o_cases c JOIN o_status s USING (case_id)
-LEFT JOIN (SELECT case_id, string_agg(concat(key, '=', r.value), '|' ORDER BY key) AS fields,
-  string_agg(coalesce(r.document_id, '-'), '|' ORDER BY key) AS evidence FROM o_last_fields GROUP BY case_id) f USING (case_id)
-LEFT JOIN (SELECT case_id, string_agg(code, '|' ORDER BY event_seq, finding_seq) AS findings FROM o_findings
-  GROUP BY case_id) n USING (case_id)
-LEFT JOIN (SELECT case_id, string_agg(document_id, '|' ORDER BY event_seq) AS documents FROM o_documents
-  GROUP BY case_id) d USING (case_id)
-LEFT JOIN o_last_review USING (case_id)
-JOIN (SELECT target_id AS case_id, string_agg(action, '|' ORDER BY event_seq, sub_seq) AS actions FROM o_audit
-  GROUP BY target_id) a USING (case_id)""",
-    "case_assembly": """
-SELECT c.case_id, CAST(0 AS BIGINT) AS part, applicant_name, s.status, coalesce(d.summaries, '') AS summaries,
-  coalesce(f.fields, '') AS extracted_fields, coalesce(n.messages, '') AS messages, a.audit_rows,
-  note AS review_note
-FROM o_cases c JOIN o_status s USING (case_id)
-LEFT JOIN (SELECT case_id, string_agg(concat(key, '=', value), '|' ORDER BY event_seq, field_seq) AS fields
-  FROM o_reviewed GROUP BY case_id) f USING (case_id)
-LEFT JOIN (SELECT case_id, string_agg(message, '|' ORDER BY event_seq, finding_seq) AS messages FROM o_findings
-  GROUP BY case_id) n USING (case_id)
-LEFT JOIN (SELECT case_id, string_agg(summary, '|' ORDER BY event_seq) AS summaries FROM o_documents
-  GROUP BY case_id) d USING (case_id)
-LEFT JOIN o_last_review USING (case_id)
-JOIN (SELECT target_id AS case_id, count(*) AS audit_rows FROM o_audit GROUP BY target_id) a USING (case_id)""",
-    "document_export": """
-SELECT r.document_id, CAST(0 AS BIGINT) AS part, document_type, status, overall_confidence, f.fields, reviewer,
-  a.actions AS audit_actions
-FROM o_reviewed_records r
-JOIN (SELECT document_id, string_agg(concat(key, '=', value, ':', validation_status), '|' ORDER BY key) AS fields
-  FROM o_reviewed_record_fields GROUP BY document_id) f USING (document_id)
-JOIN (SELECT target_id AS document_id, string_agg(action, '|' ORDER BY event_seq, sub_seq) AS actions
-  FROM o_record_audit GROUP BY target_id) a USING (document_id)""",
+    "case_export": f"""
+SELECT case_id, 'header' AS section, CAST(-1 AS BIGINT) AS event_seq, CAST(0 AS BIGINT) AS sub_seq,
+  NULL::VARCHAR AS key, case_type, integration_ref, institution_id, branch_code, 'medium' AS risk_level, s.status
+FROM o_cases JOIN o_status s USING (case_id)
+{_EXPORTED_REVIEW}
+UNION ALL BY NAME
+SELECT case_id, 'fields' AS section, r.event_seq AS event_seq, r.field_seq AS sub_seq, key, r.value AS value,
+  r.confidence AS confidence, r.document_id AS evidence_document_id, r.source_page AS source_page,
+  r.bbox AS evidence_bbox, r.evidence_text AS evidence_text, NULL::VARCHAR AS image_crop_uri
+FROM o_last_fields
+{_EXPORTED_FINDINGS.format(section="findings")}
+{_EXPORTED_DOCUMENTS.format(more=", pages")}
+{_EXPORTED_AUDIT.format(owner="case_id", metadata=_METADATA, rows="o_audit")}
+UNION ALL BY NAME
+SELECT case_id, 'audit_events' AS section, last_event + 1 AS event_seq, 0 AS sub_seq, 'export_generated' AS key,
+  'export_generated' AS action, 'api' AS actor, 'JSON export generated' AS note, '' AS metadata,
+  '2026-06-01 00:00:00.000000' AS audit_at FROM o_status""",
+    "case_assembly": f"""
+SELECT case_id, 'header' AS section, CAST(-1 AS BIGINT) AS event_seq, CAST(0 AS BIGINT) AS sub_seq,
+  NULL::VARCHAR AS key, case_type, integration_ref, institution_id, branch_code, 'medium' AS risk_level,
+  s.status, applicant_name, strftime(created_at, '{AT}') AS case_created_at,
+  strftime(updated_at, '{AT}') AS case_updated_at
+FROM o_cases JOIN o_status s USING (case_id)
+{_EXPORTED_REVIEW}
+UNION ALL BY NAME
+SELECT case_id, 'extracted_fields' AS section, event_seq, field_seq AS sub_seq, key, label, value, confidence,
+  required, source, validation_status, validation_message, bbox, extracted_by, review_status,
+  document_id AS field_document_id, document_id AS evidence_document_id, source_page, bbox AS evidence_bbox,
+  evidence_text, NULL::VARCHAR AS image_crop_uri
+FROM o_reviewed
+{_EXPORTED_FINDINGS.format(section="validation_findings")}
+{_EXPORTED_DOCUMENTS.format(more="")}
+{_EXPORTED_AUDIT.format(owner="case_id", metadata=_METADATA, rows="o_audit")}""",
+    "document_export": f"""
+SELECT document_id, 'header' AS section, CAST(-1 AS BIGINT) AS event_seq, CAST(0 AS BIGINT) AS sub_seq,
+  NULL::VARCHAR AS key, document_type, status, overall_confidence FROM o_reviewed_records
+UNION ALL BY NAME
+SELECT document_id, 'review' AS section, -1 AS event_seq, 0 AS sub_seq, NULL::VARCHAR AS key, reviewer,
+  note AS review_note, strftime(reviewed_at, '{AT}') AS reviewed_at FROM o_reviewed_records
+UNION ALL BY NAME
+SELECT document_id, 'fields' AS section, -1 AS event_seq, field_seq AS sub_seq, key, value, confidence,
+  validation_status, validation_message FROM o_reviewed_record_fields
+{_EXPORTED_AUDIT.format(owner="document_id", metadata="''", rows="o_record_audit")}""",
     "audit_trail": f"SELECT * REPLACE (strftime(created_at, '{AT}') AS created_at) FROM o_audit",
     "document_audit_trail": f"""
 SELECT * REPLACE (strftime(created_at, '{AT}') AS created_at) FROM o_record_audit""",

@@ -60,13 +60,19 @@ class Flows(Inputs):
         """Processed documents written once, for queries that use them repeatedly."""
         return materialise(self.documents, "documents")
 
+    @cached_property
+    def stored_paged_documents(self) -> DataFrame:
+        """The same with their pages, which exports contain."""
+        paged = processing.process_documents(self.uploads, self.cases, self.responses, keep_pages=True)
+        return materialise(paged, "documents")
+
     @cached_property
     def rule_documents(self) -> DataFrame:
         return processing.process_documents(self.uploads, self.cases)
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return model.parse_responses(self.responses)
+        return model.parse_responses(model.latest_responses(self.responses))
 
     @cached_property
     def reviewed_fields(self) -> DataFrame:
@@ -81,13 +87,6 @@ class Flows(Inputs):
     def case_audit(self) -> DataFrame:
         return audit.case_audit(self.cases, self.stored_documents, self.case_reviews)
 
-    @cached_property
-    def case_events(self) -> DataFrame:
-        """One narrow row per event of a case, to size its export by."""
-        return self.known_uploads.select("case_id").unionByName(
-            self.known_reviews.select("case_id")
-        )
-
     @cached_property
     def template_fields(self) -> DataFrame:
         return by_template.template_fields(self.records, self.observations, self.templates)
@@ -120,7 +119,7 @@ def _box(name: str):
 
 
 def _moment(name: str):
-    return F.date_format(name, MOMENT).alias(name)
+    return F.date_format(name, MOMENT).alias(name.split(".")[-1])
 
 
 def _flat_fields(fields: DataFrame, *more) -> DataFrame:
@@ -223,7 +222,7 @@ def missing_name_fields(f: Flows) -> DataFrame:
 
 
 def clean_model_responses(f: Flows) -> DataFrame:
-    return f.responses.select(
+    return model.latest_responses(f.responses).select(
         "document_id", model.clean_response(F.col("content")).alias("cleaned")
     )
 
@@ -349,16 +348,47 @@ def intake_rejects(f: Flows) -> DataFrame:
     return rejected.select("case_id", "reason")
 
 
-def case_lookup(f: Flows) -> DataFrame:
-    wanted = f.uploads.select("case_id").distinct()
-    found, missing = cases.lookup(f.cases, wanted, "case_id")
-    return found.select("case_id", "applicant_name", F.lit(True).alias("found")).unionByName(
-        missing.select(
-            "case_id",
-            F.lit(None).cast("string").alias("applicant_name"),
-            F.lit(False).alias("found"),
-        )
+def upload_rejects(f: Flows) -> DataFrame:
+    declared = F.when(F.endswith("document_id", F.lit("7")), "memo").when(
+        ~F.endswith("document_id", F.lit("8")), F.col("declared_document_type")
     )
+    _, rejected = intake.check_domain(f.uploads.withColumn("declared_document_type", declared), "upload")
+    return rejected.select("document_id", "reason")
+
+
+def review_rejects(f: Flows) -> DataFrame:
+    blanked = f.case_reviews.withColumns(
+        {
+            "reviewer": F.when(F.col("event_seq") % 14 != 1, F.col("reviewer")),
+            "decision": F.when(F.col("event_seq") % 14 != 3, F.col("decision")),
+        }
+    )
+    _, rejected = intake.check_domain(blanked, "review")
+    return rejected.select("case_id", "event_seq", "reason")
+
+
+def duplicate_responses(f: Flows) -> DataFrame:
+    return model.repeated_responses(f.responses)
+
+
+def _looked_up(rows: DataFrame, wanted: DataFrame, key: str, shown: str) -> DataFrame:
+    found, missing = cases.lookup(rows, wanted, key)
+    nothing = missing.select(key, F.lit(None).cast("string").alias(shown), F.lit(False).alias("found"))
+    return found.select(key, shown, F.lit(True).alias("found")).unionByName(nothing)
+
+
+def case_lookup(f: Flows) -> DataFrame:
+    return _looked_up(f.cases, f.uploads.select("case_id").distinct(), "case_id", "applicant_name")
+
+
+def document_lookup(f: Flows) -> DataFrame:
+    wanted = f.document_reviews.select("document_id").distinct()
+    return _looked_up(f.template_run.records, wanted, "document_id", "filename")
+
+
+def list_documents(f: Flows) -> DataFrame:
+    rows = cases.newest_first(f.template_run.records, "document_id")
+    return rows.select("document_id", "filename", _moment("created_at"))
 
 
 def review_decisions(f: Flows) -> DataFrame:
@@ -405,50 +435,90 @@ def case_export_fields(f: Flows) -> DataFrame:
     )
 
 
+def _pages(pages: str):
+    """All pages of a document as one text: sizes, score, and every block."""
+
+    def page(p):
+        blocks = F.transform(
+            p["blocks"],
+            lambda b: F.concat_ws(
+                ";", b["text"], F.array_join(b["bbox"].cast("array<string>"), ","),
+                b["confidence"].cast("string"), b["block_type"], b["language"],
+            ),
+        )
+        sizes = [p[name].cast("string") for name in ("page_number", "width", "height", "ocr_confidence")]
+        return F.concat_ws("|", *sizes, F.array_join(blocks, "|"))
+
+    return F.array_join(F.transform(pages, page), "#")
+
+
+def _metadata(metadata: str):
+    entries = F.array_sort(F.map_entries(metadata))
+    return F.array_join(
+        F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))), "|"
+    )
+
+
+_HEADER = {name: f"header.{name}" for name in ("case_type", "integration_ref", "institution_id", "branch_code", "risk_level")}
+_REVIEW = {"reviewer": "review.reviewer", "review_note": "review.note"}
+_AUDIT = {"action": "audit_events.action", "actor": "audit_events.actor", "note": "audit_events.note"}
+_DOCUMENT = {
+    "id": "documents.id", "filename": "documents.filename", "summary": "documents.summary",
+    "declared_document_type": "documents.declared_document_type",
+    "document_type": "documents.document_type", "document_status": "documents.status",
+}
+
+
+def _flat_export(rows: DataFrame, owner: str, members: dict[str, str], *more) -> DataFrame:
+    """Export rows with every member as a scalar column."""
+    return rows.select(
+        owner, "section", "event_seq", "sub_seq", "key",
+        *[F.col(path).alias(name) for name, path in (members | _REVIEW | _AUDIT).items()],
+        _metadata("audit_events.metadata").alias("metadata"),
+        _moment("review.reviewed_at"),
+        F.date_format("audit_events.created_at", MOMENT).alias("audit_at"),
+        *more,
+    )
+
+
+def _evidence(field: str):
+    return [
+        F.col(f"{field}.evidence.document_id").alias("evidence_document_id"),
+        F.col(f"{field}.evidence.source_page").alias("source_page"),
+        F.array_join(F.col(f"{field}.evidence.bbox").cast("array<string>"), ",").alias("evidence_bbox"),
+        F.col(f"{field}.evidence.evidence_text").alias("evidence_text"),
+        F.col(f"{field}.evidence.image_crop_uri").alias("image_crop_uri"),
+    ]
+
+
+def _finding(finding: str):
+    names = {"severity": "severity", "code": "code", "message": "message", "field_key": "field_key"}
+    named = {"finding_document_id": "document_id"} | names
+    return [F.col(f"{finding}.{member}").alias(name) for name, member in named.items()]
+
+
+def _document():
+    return [
+        F.col("documents.page_count").cast("long").alias("page_count"),
+        _moment("documents.created_at"),
+        _moment("documents.updated_at"),
+    ]
+
+
 def case_export(f: Flows) -> DataFrame:
+    documents = f.stored_paged_documents
     exported = exports.export_cases(
         f.headers,
-        f.stored_documents,
+        documents,
         f.reviewed_fields,
-        processing.document_findings(f.stored_documents),
+        processing.document_findings(documents),
         f.case_audit,
         F.lit(EXPORTED_AT).cast("timestamp_ntz"),
-        sizes=f.case_events,
     )
-    by_key = F.array_sort(F.map_entries("fields"))
-    return exported.select(
-        "case_id",
-        "part",
-        "case_type",
-        "integration_ref",
-        "institution_id",
-        "branch_code",
-        "status",
-        "risk_level",
-        F.array_join(
-            F.transform(
-                by_key,
-                lambda entry: F.concat(entry["key"], F.lit("="), entry["value"]),
-            ),
-            "|",
-        ).alias("fields"),
-        F.array_join(
-            F.transform(
-                by_key,
-                lambda entry: F.coalesce(
-                    F.element_at("evidence", entry["key"])["document_id"], F.lit("-")
-                ),
-            ),
-            "|",
-        ).alias("evidence"),
-        _joined("findings", lambda item: item["code"]).alias("findings"),
-        _joined("documents", lambda item: item["document_id"]).alias("documents"),
-        F.col("review.reviewer").alias("reviewer"),
-        _joined("audit_events", lambda item: item["action"]).alias("audit_actions"),
-        F.coalesce(
-            F.element_at(F.get("audit_events", F.lit(0))["metadata"], F.lit("customer_ref")),
-            F.lit(""),
-        ).alias("created_ref"),
+    members = _HEADER | _DOCUMENT | {"status": "header.status", "value": "fields.value", "confidence": "fields.confidence"}
+    return _flat_export(
+        exported, "case_id", members, *_evidence("fields"), *_finding("findings"), *_document(),
+        _pages("documents.pages").alias("pages"),
     )
 
 
@@ -459,54 +529,27 @@ def case_assembly(f: Flows) -> DataFrame:
         f.reviewed_fields,
         processing.document_findings(f.stored_documents),
         f.case_audit,
-        sizes=f.case_events,
     )
-    return assembled.select(
-        "case_id",
-        "part",
-        "applicant_name",
-        "status",
-        _joined("documents", lambda item: item["summary"]).alias("summaries"),
-        _joined(
-            "extracted_fields",
-            lambda item: F.concat(item["key"], F.lit("="), item["value"]),
-        ).alias("extracted_fields"),
-        _joined("validation_findings", lambda item: item["message"]).alias("messages"),
-        F.size("audit_events").cast("long").alias("audit_rows"),
-        F.col("review.note").alias("review_note"),
+    field = "extracted_fields"
+    names = ("label", "value", "confidence", "required", "source", "validation_status", "validation_message")
+    names += ("extracted_by", "review_status")
+    members = _HEADER | _DOCUMENT | {name: f"{field}.{name}" for name in names}
+    members |= {"status": "header.status", "applicant_name": "header.applicant_name"}
+    members |= {"field_document_id": f"{field}.document_id"}
+    return _flat_export(
+        assembled, "case_id", members, *_evidence(field), *_finding("validation_findings"), *_document(),
+        F.array_join(F.col(f"{field}.bbox").cast("array<string>"), ",").alias("bbox"),
+        F.date_format("header.created_at", MOMENT).alias("case_created_at"),
+        F.date_format("header.updated_at", MOMENT).alias("case_updated_at"),
     )
 
 
 def document_export(f: Flows) -> DataFrame:
     fields = reviews.apply_document_reviews(f.template_run.fields, f.known_record_reviews)
-    exported = exports.export_documents(
-        f.reviewed_records,
-        fields,
-        f.record_audit,
-        sizes=f.known_record_reviews.select("document_id"),
-    )
-    return exported.select(
-        "document_id",
-        "part",
-        "document_type",
-        "status",
-        "overall_confidence",
-        F.array_join(
-            F.transform(
-                F.array_sort(F.map_entries("fields")),
-                lambda entry: F.concat(
-                    entry["key"],
-                    F.lit("="),
-                    entry["value"],
-                    F.lit(":"),
-                    F.element_at("validation", entry["key"])["status"],
-                ),
-            ),
-            "|",
-        ).alias("fields"),
-        F.col("review.reviewer").alias("reviewer"),
-        _joined("audit_events", lambda item: item["action"]).alias("audit_actions"),
-    )
+    exported = exports.export_documents(f.reviewed_records, fields, f.record_audit)
+    members = {name: f"header.{name}" for name in ("document_type", "status", "overall_confidence")}
+    names = ("value", "confidence", "validation_status", "validation_message")
+    return _flat_export(exported, "document_id", members | {name: f"fields.{name}" for name in names})
 
 
 def _flat_audit(rows: DataFrame, *names: str) -> DataFrame:
@@ -627,6 +670,7 @@ QUERIES = {
     "unknown_case_uploads": unknown_case_uploads,
     "rule_extraction": rule_extraction,
     "missing_name_fields": missing_name_fields,
+    "duplicate_responses": duplicate_responses,
     "clean_model_responses": clean_model_responses,
     "parse_model_fields": parse_model_fields,
     "parse_model_findings": parse_model_findings,
@@ -648,7 +692,11 @@ QUERIES = {
     "document_records": document_records,
     "case_intake": case_intake,
     "intake_rejects": intake_rejects,
+    "upload_rejects": upload_rejects,
+    "review_rejects": review_rejects,
     "case_lookup": case_lookup,
+    "document_lookup": document_lookup,
+    "list_documents": list_documents,
     "review_decisions": review_decisions,
     "case_review_fields": case_review_fields,
     "case_review_state": case_review_state,

@@ -36,6 +36,38 @@ def round2(value: Column) -> Column:
     )
 
 
+def float_text(value: Column) -> Column:
+    """A double as Python prints it.
+
+    The digits are Spark's; a decimal point is always there from 1e-4 to below
+    1e16, and the exponent outside has a sign and two digits.
+    """
+    java = F.abs(value).cast("string")
+    mantissa = F.substring_index(java, "E", 1)
+    written = F.when(F.contains(java, F.lit("E")), F.substring_index(java, "E", -1).try_cast("int")).otherwise(0)
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), r"(?<=.)0+$", "")
+    first, rest = F.left(digits, F.lit(1)), F.substr(digits, F.lit(2))
+    size = F.length(digits)
+    whole = F.when(size <= written + 1, F.concat(F.rpad(digits, written + 1, F.lit("0")), F.lit(".0"))).otherwise(
+        F.concat(F.left(digits, written + 1), F.lit("."), F.substr(digits, written + 2))
+    )
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -written - 1), digits)
+    exponent = F.concat(
+        F.lit("e"), F.when(written < 0, "-").otherwise("+"),
+        F.lpad(F.abs(written).cast("string"), F.greatest(F.lit(2), F.length(F.abs(written).cast("string"))), F.lit("0")),
+    )
+    apart = F.concat(first, F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), exponent)
+    text = (
+        F.when(F.isnan(value), "nan")
+        .when(F.abs(value) == float("inf"), "inf")
+        .when(~F.contains(java, F.lit("E")), java)
+        .when((written >= 0) & (written < 16), whole)
+        .when((written < 0) & (written >= -4), small)
+        .otherwise(apart)
+    )
+    return F.concat(F.when(value < 0, "-").otherwise(""), text)
+
+
 def percent(value: Column) -> Column:
     """``0.915`` to ``92%``; halves go up."""
     return F.concat(F.floor(value * 100 + 0.5).cast("string"), F.lit("%"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,17 @@ LINE_BREAKS = r"[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
 
+# Decimal digits of all scripts but ASCII, and the ASCII digits they stand for.
+_DIGITS = [chr(c) for c in range(0x80, 0x110000) if unicodedata.decimal(chr(c), None) is not None]
+_ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of any script as ASCII digits, as Python's number types read them."""
+    foreign = text.rlike(r"[\p{Nd}&&[^0-9]]")
+    return F.when(foreign, F.translate(text, "".join(_DIGITS), _ASCII_DIGITS)).otherwise(text)
+
+
 def strip(text: Column) -> Column:
     """Trim both ends; only the ends of the string are read, no regex runs."""
     return F.trim(text, F.lit(WHITESPACE))

@@ -45,9 +45,9 @@ def line_blocks(text: Column) -> Column:
         return F.struct(
             (position + 1).alias("block_index"),
             line.alias("text"),
-            F.array(
-                F.lit(BLOCK_LEFT), top, F.lit(BLOCK_RIGHT), top + BLOCK_HEIGHT
-            ).alias("bbox"),
+            F.array(F.lit(BLOCK_LEFT), top, F.lit(BLOCK_RIGHT), top + BLOCK_HEIGHT)
+            .cast("array<bigint>")
+            .alias("bbox"),
             F.when(position == 0, FIRST_BLOCK_CONFIDENCE)
             .otherwise(BLOCK_CONFIDENCE)
             .alias("confidence"),
@@ -113,7 +113,7 @@ def first_bbox(pages: Column) -> Column:
             )
         ]
     )
-    return F.coalesce(first_block["bbox"], default)
+    return F.coalesce(first_block["bbox"], default.cast("array<bigint>"))
 
 
 def page_table(documents: DataFrame) -> DataFrame:

@@ -12,23 +12,29 @@ from dossier.operators.audit import FIRST_EVENT
 from dossier.operators.reviews import review_state
 
 
+_PLACE = ("event_seq", "kind", "at", "status_after")
+
+
 def status_events(cases: DataFrame, uploads: DataFrame, reviews: DataFrame) -> DataFrame:
     """Every event that sets a case's status. An upload reopens an approved case."""
     created = cases.select(
         "case_id",
         F.lit(FIRST_EVENT).cast("long").alias("event_seq"),
+        F.lit(0).alias("kind"),
         F.lit("created").alias("status_after"),
         F.col("created_at").alias("at"),
     )
     uploaded = uploads.select(
         "case_id",
         "event_seq",
+        F.lit(0).alias("kind"),
         F.lit("review_required").alias("status_after"),
         F.col("uploaded_at").alias("at"),
     )
     decided = reviews.select(
         "case_id",
         "event_seq",
+        F.lit(1).alias("kind"),
         decided_status(F.col("decision")).alias("status_after"),
         F.col("reviewed_at").alias("at"),
     )
@@ -36,13 +42,16 @@ def status_events(cases: DataFrame, uploads: DataFrame, reviews: DataFrame) -> D
 
 
 def current_status(cases: DataFrame, uploads: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Status and last change per created case."""
+    """Status and last change per created case.
+
+    Events with one sequence number: uploads come before reviews, then by time.
+    """
     return (
         status_events(cases, uploads, reviews)
         .groupBy("case_id")
         .agg(
-            F.max_by("status_after", "event_seq").alias("status"),
-            F.max_by("at", "event_seq").alias("updated_at"),
+            F.max_by("status_after", F.struct(*_PLACE)).alias("status"),
+            F.max_by("at", F.struct(*_PLACE)).alias("updated_at"),
             F.min("event_seq").alias("first_event"),
             F.max("event_seq").alias("last_event"),
         )
@@ -96,7 +105,7 @@ def first_document_page(documents: DataFrame) -> DataFrame:
         ).alias("page"),
     )
     return (
-        first.groupBy("case_id").agg(F.min_by("page", "event_seq").alias("page"))
+        first.groupBy("case_id").agg(F.min_by("page", F.struct("event_seq", "page.document_id")).alias("page"))
     ).select("case_id", "page.*")
 
 

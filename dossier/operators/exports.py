@@ -1,65 +1,30 @@
-"""Nested cases and exports.
+"""Cases and exports as rows.
 
-Every child of a case (field, finding, document, audit row, and the case's own
-header) becomes one entry row with its place in the case's timeline. One
-grouping collects all kinds at once, so children are never joined to each other.
+An export is one table with a row per item: the header, a field, a finding, a
+document with its pages, the review, an audit row. A row has the id it belongs to,
+its section, its place in the timeline, and one filled struct named after the
+section; ``with_payload`` turns that struct into JSON. The table looks the same for
+a case of three events and of three million, and nothing is collected by case.
 
-A case with more events than ``limit`` is written as several consecutive parts,
-each with its stretch of the timeline; the header is in part 0. Put end to end
-the parts hold the same lists and maps as one document would.
+``nested_cases`` and ``nested_documents`` give the nested form for the ids a caller
+names, as a request for one export does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.operators import audit as audit_rows
 from dossier.operators.audit import FIRST_EVENT
-from dossier.skew import with_part
-
-# A part is collected into one row, document pages included.
-PART_EVENTS = 5_000
-
-
-def last_fields(fields: DataFrame, key: str = "case_id") -> DataFrame:
-    """The last field per key; earlier ones with the same key are not exported."""
-    kept = [name for name in fields.columns if name not in (key, "key")]
-    order = ["event_seq", "field_seq"] if "event_seq" in fields.columns else ["field_seq"]
-    last = F.max_by(F.struct(*kept), F.struct(*order))
-    return fields.groupBy(key, "key").agg(last.alias("last")).select(key, "key", "last.*")
-
-
-def _entry(rows: DataFrame, key: str, kind: str, order: list[str], members: list) -> DataFrame:
-    """(key, event_seq, kind struct); the struct begins with its sort order."""
-    places = [F.col(name).alias(f"_{name}") for name in order]
-    return rows.select(
-        key,
-        F.coalesce("event_seq", F.lit(FIRST_EVENT)).cast("long").alias("event_seq"),
-        F.struct(*places, *members).alias(kind),
-    )
-
-
-def _union(entries: list[DataFrame]) -> DataFrame:
-    first, *others = entries
-    for other in others:
-        first = first.unionByName(other, allowMissingColumns=True)
-    return first
-
-
-def _collected(
-    entries: DataFrame, key: str, kinds: list[str], limit: int, sizes: DataFrame | None
-) -> DataFrame:
-    parts = with_part(entries, key, "event_seq", limit, sizes)
-    return parts.groupBy(key, "part").agg(
-        *[F.array_sort(F.collect_list(kind)).alias(kind) for kind in kinds],
-        F.first("header", ignorenulls=True).alias("header"),
-    )
-
-
-def _without_order(items: Column, members: list[str]) -> Column:
-    return F.transform(items, lambda item: F.struct(*[item[name].alias(name) for name in members]))
 
+JSON_OPTIONS = {
+    "ignoreNullFields": "false",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+}
+PLACE = ["section", "event_seq", "sub_seq", "key"]
 
 FIELD_MEMBERS = [
     "field_id",
@@ -77,9 +42,10 @@ FIELD_MEMBERS = [
     "review_status",
     "document_id",
 ]
+EXPORTED_FIELD_MEMBERS = ["key", "value", "confidence", "evidence"]
+RECORD_FIELD_MEMBERS = ["key", "value", "confidence", "validation_status", "validation_message"]
 FINDING_MEMBERS = ["severity", "code", "message", "field_key", "document_id"]
 DOCUMENT_MEMBERS = [
-    "document_id",
     "filename",
     "declared_document_type",
     "document_type",
@@ -91,113 +57,89 @@ DOCUMENT_MEMBERS = [
 ]
 AUDIT_MEMBERS = ["action", "actor", "note", "metadata", "created_at"]
 REVIEW_MEMBERS = ["reviewer", "note", "reviewed_at"]
-HEADER_MEMBERS = [
+EXPORTED_HEADER_MEMBERS = [
     "case_type",
-    "applicant_name",
+    "integration_ref",
     "institution_id",
     "branch_code",
-    "integration_ref",
     "status",
     "risk_level",
-    "created_at",
-    "updated_at",
-    *REVIEW_MEMBERS,
 ]
+HEADER_MEMBERS = [*EXPORTED_HEADER_MEMBERS, "applicant_name", "created_at", "updated_at"]
+RECORD_HEADER_MEMBERS = ["document_type", "status", "overall_confidence"]
 
 
-def _case_entries(
-    headers: DataFrame,
-    documents: DataFrame,
-    fields: DataFrame,
-    findings: DataFrame,
-    audit: DataFrame,
+def last_fields(fields: DataFrame, key: str = "case_id") -> DataFrame:
+    """The last field per key; earlier ones with the same key are not exported."""
+    kept = [name for name in fields.columns if name not in (key, "key")]
+    order = [name for name in ("event_seq", "document_id", "field_seq") if name in kept]
+    last = F.max_by(F.struct(*kept), F.struct(*order))
+    return fields.groupBy(key, "key").agg(last.alias("last")).select(key, "key", "last.*")
+
+
+def _section(
+    rows: DataFrame, owner: str, name: str, places: tuple[Column, Column], key: Column, members: list
 ) -> DataFrame:
-    document_members = DOCUMENT_MEMBERS + (["pages"] if "pages" in documents.columns else [])
-    # Maps cannot be sorted, so metadata travels as its entries.
-    metadata = F.map_entries("metadata").alias("metadata")
-    audit_members = [metadata if name == "metadata" else F.col(name) for name in AUDIT_MEMBERS]
-    return _union(
-        [
-            _entry(
-                headers.withColumn("event_seq", F.lit(FIRST_EVENT)),
-                "case_id",
-                "header",
-                ["event_seq"],
-                HEADER_MEMBERS,
-            ),
-            _entry(fields, "case_id", "fields", ["event_seq", "field_seq"], FIELD_MEMBERS),
-            _entry(findings, "case_id", "findings", ["event_seq", "finding_seq"], FINDING_MEMBERS),
-            _entry(documents, "case_id", "documents", ["event_seq"], document_members),
-            _entry(
-                audit.withColumnRenamed("target_id", "case_id"),
-                "case_id",
-                "audit_events",
-                ["event_seq", "sub_seq"],
-                audit_members,
-            ),
-        ]
+    event_seq, sub_seq = places
+    return rows.select(
+        owner,
+        F.lit(name).alias("section"),
+        F.coalesce(event_seq, F.lit(FIRST_EVENT)).cast("long").alias("event_seq"),
+        sub_seq.cast("long").alias("sub_seq"),
+        key.alias("key"),
+        F.struct(*members).alias(name),
     )
 
 
-def _audit_list(items: Column) -> Column:
-    return F.transform(
-        items,
-        lambda item: F.struct(
-            item["action"].alias("action"),
-            item["actor"].alias("actor"),
-            item["note"].alias("note"),
-            F.map_from_entries(item["metadata"]).alias("metadata"),
-            item["created_at"].alias("created_at"),
-        ),
-    )
+def _union(sections: list[DataFrame]) -> DataFrame:
+    first, *others = sections
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first
 
 
-def _map(items: Column, value) -> Column:
-    entries = F.transform(
-        items, lambda item: F.struct(item["key"].alias("key"), value(item).alias("value"))
-    )
-    return F.map_from_entries(entries)
+def _single(rows: DataFrame, owner: str, name: str, members: list[str]) -> DataFrame:
+    """A section with one row per owner."""
+    place = F.lit(FIRST_EVENT), F.lit(0)
+    return _section(rows, owner, name, place, F.lit(None).cast("string"), members)
+
+
+def _fields(fields: DataFrame, owner: str, name: str, members: list[str]) -> DataFrame:
+    event_seq = F.col("event_seq") if "event_seq" in fields.columns else F.lit(FIRST_EVENT)
+    return _section(fields, owner, name, (event_seq, F.col("field_seq")), F.col("key"), members)
 
 
-def _document_members(collected: DataFrame) -> list[str]:
-    names = collected.schema["documents"].dataType.elementType.fieldNames()
-    return [name for name in names if not name.startswith("_")]
+def _findings(findings: DataFrame, name: str) -> DataFrame:
+    place = F.col("event_seq"), F.col("finding_seq")
+    return _section(findings, "case_id", name, place, F.col("code"), FINDING_MEMBERS)
 
 
-def _review() -> Column:
-    return F.struct(*[f"header.{name}" for name in REVIEW_MEMBERS])
+def _documents(documents: DataFrame) -> DataFrame:
+    members = [F.col("document_id").alias("id"), *DOCUMENT_MEMBERS]
+    members += ["pages"] if "pages" in documents.columns else []
+    place = F.col("event_seq"), F.lit(0)
+    return _section(documents, "case_id", "documents", place, F.col("document_id"), members)
+
+
+def _audit(audit: DataFrame, owner: str) -> DataFrame:
+    named = audit.withColumnRenamed("target_id", owner)
+    place = F.col("event_seq"), F.col("sub_seq")
+    return _section(named, owner, "audit_events", place, F.col("action"), AUDIT_MEMBERS)
 
 
 def assemble_cases(
-    headers: DataFrame,
-    documents: DataFrame,
-    fields: DataFrame,
-    findings: DataFrame,
-    audit: DataFrame,
-    sizes: DataFrame | None = None,
-    limit: int = PART_EVENTS,
+    headers: DataFrame, documents: DataFrame, fields: DataFrame, findings: DataFrame, audit: DataFrame
 ) -> DataFrame:
-    """Cases with all their documents, fields, findings and audit rows nested.
-
-    ``sizes`` has one row per event of a case and is counted to find cases that
-    need several parts; without it the entries themselves are counted.
-    """
-    collected = _collected(
-        _case_entries(headers, documents, fields, findings, audit),
-        "case_id",
-        ["fields", "findings", "documents", "audit_events"],
-        limit,
-        sizes,
-    )
-    return collected.select(
-        "case_id",
-        "part",
-        *[f"header.{name}" for name in HEADER_MEMBERS if name not in REVIEW_MEMBERS],
-        _without_order(F.col("documents"), _document_members(collected)).alias("documents"),
-        _without_order(F.col("fields"), FIELD_MEMBERS).alias("extracted_fields"),
-        _without_order(F.col("findings"), FINDING_MEMBERS).alias("validation_findings"),
-        _review().alias("review"),
-        _audit_list(F.col("audit_events")).alias("audit_events"),
+    """Every item of every case: all its fields, not the last of each key only."""
+    return _union(
+        [
+            _single(headers, "case_id", "header", HEADER_MEMBERS),
+            _single(headers, "case_id", "review", REVIEW_MEMBERS),
+            _documents(documents),
+            _fields(fields, "case_id", "extracted_fields", FIELD_MEMBERS),
+            _findings(findings, "validation_findings"),
+            _audit(audit, "case_id"),
+        ]
     )
 
 
@@ -208,98 +150,100 @@ def export_cases(
     findings: DataFrame,
     audit: DataFrame,
     exported_at: Column,
-    sizes: DataFrame | None = None,
-    limit: int = PART_EVENTS,
 ) -> DataFrame:
-    """The export document of every case, this export's audit row included.
+    """The export of every case, this export's audit row included.
 
-    The row is part of the document only; appending it to the audit table is a
+    That row is part of the export only; appending it to the audit table is a
     write of its own (``audit.exported`` and ``append_audit``).
     """
     with_export = audit.unionByName(audit_rows.exported(headers, exported_at))
-    collected = _collected(
-        _case_entries(headers, documents, last_fields(fields), findings, with_export),
-        "case_id",
-        ["fields", "findings", "documents", "audit_events"],
-        limit,
-        sizes,
-    )
-    return collected.select(
-        "case_id",
-        "part",
-        "header.case_type",
-        "header.integration_ref",
-        "header.institution_id",
-        "header.branch_code",
-        "header.status",
-        "header.risk_level",
-        _map(F.col("fields"), lambda item: item["value"]).alias("fields"),
-        _map(F.col("fields"), lambda item: item["confidence"]).alias("confidence"),
-        _map(F.col("fields"), lambda item: item["evidence"]).alias("evidence"),
-        _without_order(F.col("findings"), FINDING_MEMBERS).alias("findings"),
-        _without_order(F.col("documents"), _document_members(collected)).alias("documents"),
-        _review().alias("review"),
-        _audit_list(F.col("audit_events")).alias("audit_events"),
+    return _union(
+        [
+            _single(headers, "case_id", "header", EXPORTED_HEADER_MEMBERS),
+            _single(headers, "case_id", "review", REVIEW_MEMBERS),
+            _documents(documents),
+            _fields(last_fields(fields), "case_id", "fields", EXPORTED_FIELD_MEMBERS),
+            _findings(findings, "findings"),
+            _audit(with_export, "case_id"),
+        ]
     )
 
 
-def export_documents(
-    records: DataFrame,
-    fields: DataFrame,
-    audit: DataFrame,
-    sizes: DataFrame | None = None,
-    limit: int = PART_EVENTS,
-) -> DataFrame:
-    """The export document of every document read by template.
+def export_documents(records: DataFrame, fields: DataFrame, audit: DataFrame) -> DataFrame:
+    """The export of every document read by template; no audit row is written for it.
 
-    No audit row is written for it. ``records`` are reviewed records.
+    ``records`` are reviewed records.
     """
-    members = ["key", "value", "confidence", "validation_status", "validation_message"]
-    header = ["document_type", "status", "overall_confidence", *REVIEW_MEMBERS]
-    first = F.lit(FIRST_EVENT)
-    metadata = F.map_entries("metadata").alias("metadata")
-    audit_members = [metadata if name == "metadata" else F.col(name) for name in AUDIT_MEMBERS]
-    entries = _union(
+    return _union(
         [
-            _entry(
-                records.withColumn("event_seq", first),
-                "document_id",
-                "header",
-                ["event_seq"],
-                header,
-            ),
-            _entry(
-                last_fields(fields, "document_id").withColumn("event_seq", first),
-                "document_id",
-                "fields",
-                ["field_seq"],
-                members,
-            ),
-            _entry(
-                audit.withColumnRenamed("target_id", "document_id"),
-                "document_id",
-                "audit_events",
-                ["event_seq", "sub_seq"],
-                audit_members,
-            ),
+            _single(records, "document_id", "header", RECORD_HEADER_MEMBERS),
+            _single(records, "document_id", "review", REVIEW_MEMBERS),
+            _fields(last_fields(fields, "document_id"), "document_id", "fields", RECORD_FIELD_MEMBERS),
+            _audit(audit, "document_id"),
         ]
     )
-    collected = _collected(entries, "document_id", ["fields", "audit_events"], limit, sizes)
+
+
+def _sections(rows: DataFrame) -> list[str]:
+    return [name for name in rows.columns[1:] if name not in PLACE]
+
+
+def with_payload(rows: DataFrame) -> DataFrame:
+    """The owner's id, the place, and the filled section as JSON."""
+    payloads = [F.to_json(name, JSON_OPTIONS) for name in _sections(rows)]
+    return rows.select(rows.columns[0], *PLACE, F.coalesce(*payloads).alias("payload"))
+
+
+def _lists(rows: DataFrame, ids: Sequence[str], single: tuple[str, ...]) -> DataFrame:
+    owner = rows.columns[0]
+    named = rows.filter(F.col(owner).isin(list(ids)))
+    collected = []
+    for name in _sections(rows):
+        if name in single:
+            collected.append(F.first(name, ignorenulls=True).alias(name))
+            continue
+        # Maps cannot be sorted, so the items are placed by number.
+        placed = F.struct("event_seq", "sub_seq", F.coalesce("key", F.lit("")).alias("key"))
+        items = F.collect_list(F.when(F.col(name).isNotNull(), F.struct(placed.alias("at"), F.col(name).alias("item"))))
+        ordered = F.array_sort(items, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
+        collected.append(F.transform(ordered, lambda x: x["item"]).alias(name))
+    return named.groupBy(owner).agg(*collected)
+
+
+def _map(name: str, value) -> Column:
+    entries = F.transform(name, lambda item: F.struct(item["key"].alias("key"), value(item).alias("value")))
+    return F.map_from_entries(entries)
+
+
+def nested_cases(rows: DataFrame, case_ids: Sequence[str]) -> DataFrame:
+    """The named cases' exports, one nested row each."""
+    return _lists(rows, case_ids, ("header", "review")).select(
+        "case_id",
+        "header.*",
+        _map("fields", lambda item: item["value"]).alias("fields"),
+        _map("fields", lambda item: item["confidence"]).alias("confidence"),
+        _map("fields", lambda item: item["evidence"]).alias("evidence"),
+        "findings",
+        "documents",
+        "review",
+        "audit_events",
+    )
+
+
+def nested_documents(rows: DataFrame, document_ids: Sequence[str]) -> DataFrame:
+    """The named template documents' exports, one nested row each."""
 
     def verdict(item: Column) -> Column:
         return F.struct(
             item["validation_status"].alias("status"), item["validation_message"].alias("message")
         )
 
-    return collected.select(
+    return _lists(rows, document_ids, ("header", "review")).select(
         "document_id",
-        "part",
-        "header.document_type",
-        "header.status",
-        "header.overall_confidence",
-        _map(F.col("fields"), lambda item: item["value"]).alias("fields"),
-        _map(F.col("fields"), lambda item: item["confidence"]).alias("confidence"),
-        _map(F.col("fields"), verdict).alias("validation"),
-        _review().alias("review"),
-        _audit_list(F.col("audit_events")).alias("audit_events"),
+        "header.*",
+        _map("fields", lambda item: item["value"]).alias("fields"),
+        _map("fields", lambda item: item["confidence"]).alias("confidence"),
+        _map("fields", verdict).alias("validation"),
+        "review",
+        "audit_events",
     )

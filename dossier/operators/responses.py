@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.rounding import round2
+from dossier.functions.rounding import float_text, round2
 from dossier.functions.rows import exploded, with_computed
-from dossier.functions.text import WHITESPACE_CLASS, strip
+from dossier.functions.text import WHITESPACE_CLASS, ascii_digits, strip
 from dossier.operators.rules import finding
 from dossier.schemas import DOCUMENT_TYPES, MODEL_EXTRACTOR
 
@@ -29,11 +29,13 @@ FAILURE_PREFIX = "Gemma 4 26B extraction fell back to deterministic extraction:
 
 # JSON text of the values Python counts as false.
 _FALSY = r'^(?:null|""|false|\[\]|\{\}|-?0(?:\.0+)?(?:[eE][+-]?\d+)?)$'
-_FRACTION = r"^-?\d.*[.eE]"
-# Text that Python's float() and int() read as a number.
+# A list that holds neither text nor objects.
+_PLAIN_LIST = r'^\[[^"{]*\]$'
+# Text that Python's float() and int() read as a number, digits being ASCII ones.
 _FLOAT_TEXT = r"(?i)\A[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?|nan)\z"
 _INT_TEXT = r"\A[+-]?\d+\z"
-_INT_LIMIT = 2147483648.0
+# Beyond 64 bits, doubles being exact up to this.
+_INT_LIMIT = 9223372036854775808.0
 
 _FIELD_MEMBERS = (
     "key",
@@ -73,17 +75,21 @@ def strict_json(text: Column) -> Column:
 
 
 def _members(item: Column, names: tuple[str, ...]) -> Column:
-    """struct of the named members, each as struct<json, text>.
+    """struct of the named members, each as struct<json, text, type>.
 
     ``json`` is the member's compact JSON text, null when absent; its first
-    character tells the type. ``text`` is its value as a string.
+    character tells the type. ``text`` is its value as a string, ``type`` the type
+    of a number: the JSON text no longer tells 1 from 1.0.
     """
 
     def member(name: str) -> Column:
         path = f"$.{name}"
+        value = F.try_variant_get(item, path, "variant")
+        json = F.to_json(value)
         return F.struct(
-            F.to_json(F.try_variant_get(item, path, "variant")).alias("json"),
+            json.alias("json"),
             F.try_variant_get(item, path, "string").alias("text"),
+            F.when(json.rlike(r"^-?\d"), F.schema_of_variant(value)).alias("type"),
         ).alias(name)
 
     return F.struct(*[member(name) for name in names])
@@ -99,12 +105,19 @@ def _truthy(member: Column) -> Column:
 
 
 def _text_or(member: Column, fallback) -> Column:
-    """``str(member or fallback)``: ``True``, and floats with a decimal point."""
+    """``str(member or fallback)``: ``True``, floats and lists as Python prints them."""
+    is_float = (member["type"] == "DOUBLE") | (
+        # Whole numbers of more than 18 digits are decimals as well.
+        member["type"].startswith("DECIMAL")
+        & ~((F.length(member["text"]) > 18) & ~F.contains(member["text"], F.lit(".")))
+    )
+    listed = F.replace(member["json"], F.lit(","), F.lit(", "))
+    for json, python in (("true", "True"), ("false", "False"), ("null", "None")):
+        listed = F.replace(listed, F.lit(json), F.lit(python))
     text = (
         F.when(member["json"] == "true", "True")
-        .when(
-            member["json"].rlike(_FRACTION), member["text"].try_cast("double").cast("string")
-        )
+        .when(is_float, float_text(member["text"].try_cast("double")))
+        .when(member["json"].rlike(_PLAIN_LIST), listed)
         .otherwise(member["text"])
     )
     fallback = fallback if isinstance(fallback, Column) else F.lit(fallback)
@@ -113,13 +126,13 @@ def _text_or(member: Column, fallback) -> Column:
 
 def _number(member: Column) -> Column:
     return F.when(member["json"] == "true", 1.0).otherwise(
-        strip(member["text"]).try_cast("double")
+        ascii_digits(strip(member["text"])).try_cast("double")
     )
 
 
 def _unconvertible(member: Column, text_pattern: str) -> Column:
     """A list, an object, or text that does not read as a number."""
-    bad_text = (_kind(member) == '"') & ~strip(member["text"]).rlike(text_pattern)
+    bad_text = (_kind(member) == '"') & ~ascii_digits(strip(member["text"])).rlike(text_pattern)
     return _truthy(member) & (_kind(member).isin("[", "{") | bad_text)
 
 
@@ -186,7 +199,7 @@ def _list_fault(member: Column, name: str, items: Column, item_fault) -> Column:
 def _unrounded_field(read: Column) -> Column:
     has = read["has"]
     page, confidence, required = has["source_page"], has["confidence"], has["required"]
-    bbox = F.when(_kind(has["bbox"]) == "[", read["edges"].try_cast("array<int>"))
+    bbox = F.when(_kind(has["bbox"]) == "[", read["edges"].try_cast("array<bigint>"))
     value = _text_or(has["value"], "")
     return F.struct(
         _text_or(has["key"], _text_or(has["field"], DEFAULT_KEY)).alias("key"),
@@ -195,7 +208,7 @@ def _unrounded_field(read: Column) -> Column:
         F.when(_truthy(confidence), _number(confidence)).otherwise(0.0).alias("confidence"),
         (required["json"].isNull() | _truthy(required)).alias("required"),
         bbox.alias("bbox"),
-        F.when(_truthy(page), _number(page).try_cast("int")).otherwise(1).alias("source_page"),
+        F.when(_truthy(page), _number(page).try_cast("long")).otherwise(1).alias("source_page"),
         _text_or(has["evidence_text"], value).alias("evidence_text"),
     )
 
@@ -226,6 +239,25 @@ def _finding(read: Column) -> Column:
     )
 
 
+def latest_responses(responses: DataFrame) -> DataFrame:
+    """One response per document: that with the highest ``response_seq``, if there is one.
+
+    Equal numbers, or none, leave it to the content which response counts, so that a
+    rerun gives the same answer.
+    """
+    given = "response_seq" in responses.columns
+    number = F.col("response_seq") if given else F.lit(0)
+    place = F.struct(number, F.xxhash64("content", "error"), "content")
+    last = F.max_by(F.struct("content", "error"), place)
+    return responses.groupBy("document_id").agg(last.alias("last")).select("document_id", "last.*")
+
+
+def repeated_responses(responses: DataFrame) -> DataFrame:
+    """Documents with several responses, and how many they have."""
+    counted = responses.groupBy("document_id").agg(F.count(F.lit(1)).alias("responses"))
+    return counted.filter(F.col("responses") > 1)
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """What each response says, or why it cannot be used.
 

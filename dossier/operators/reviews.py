@@ -14,7 +14,9 @@ from dossier.schemas import (
     FIELD_COLUMNS,
     GENERIC_DOCUMENT_TYPE,
 )
-from dossier.skew import BUCKET_POSITIONS, position_bucket
+
+# Events of one (case, key) that are put in order by one task, about.
+BUCKET_ROWS = 1 << 20
 
 # How reviewed fields are marked.
 REVIEWER = "reviewer"
@@ -37,36 +39,66 @@ def mentions(reviews: DataFrame, target: str = "case_id") -> DataFrame:
     )
 
 
-def _segments(fields: DataFrame, reviews: DataFrame, bucket_positions: int) -> DataFrame:
-    """Mentions by the field they follow, within buckets of the timeline.
+def _timeline(fields: DataFrame, reviews: DataFrame, bucket_rows: int) -> DataFrame:
+    """Arrivals and mentions of the keys that reviews name, in buckets of time.
 
-    A mention changes the field with its key that arrived last before it. One
-    row per (case, key, bucket, arrived field): how many mentions followed it in
-    the bucket, and the last of them. ``field_id`` is null where the bucket
-    holds no earlier arrival.
+    Buckets divide the stretch between a (case, key)'s first and last event into
+    as many equal pieces as it has ``bucket_rows`` events, so they do not depend on
+    the unit of the sequence numbers. Places are total: equal numbers are told
+    apart by kind, document and the place within it.
     """
-    arrived = fields.select(
-        "case_id",
-        "key",
-        "event_seq",
-        F.col("field_seq").alias("sub_seq"),
-        "field_id",
-        F.lit(None).cast("string").alias("value"),
-    )
     mentioned = mentions(reviews).select(
         "case_id",
         "key",
-        "event_seq",
-        F.col("mention_seq").alias("sub_seq"),
+        F.struct(
+            "event_seq",
+            F.lit(1).alias("kind"),
+            F.lit("").alias("document_id"),
+            F.col("mention_seq").alias("sub_seq"),
+        ).alias("place"),
         F.lit(None).cast("string").alias("field_id"),
         "value",
     )
-    timeline = arrived.unionByName(mentioned).withColumn(
-        "bucket", position_bucket(F.col("event_seq"), bucket_positions)
+    named = mentioned.select("case_id", "key").distinct()
+    arrived = fields.join(named, ["case_id", "key"], "left_semi").select(
+        "case_id",
+        "key",
+        F.struct(
+            "event_seq",
+            F.lit(0).alias("kind"),
+            F.coalesce("document_id", F.lit("")).alias("document_id"),
+            F.col("field_seq").alias("sub_seq"),
+        ).alias("place"),
+        "field_id",
+        F.lit(None).cast("string").alias("value"),
+    )
+    events = arrived.unionByName(mentioned)
+    seq = F.col("place.event_seq")
+    sizes = events.groupBy("case_id", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(seq).alias("low"), F.max(seq).alias("high")
+    )
+    pieces = F.ceil(F.col("n") / F.lit(bucket_rows))
+    share = (seq - F.col("low")) / (F.col("high") - F.col("low") + 1)
+    return (
+        events.join(sizes, ["case_id", "key"])
+        .withColumn("bucket", F.floor(share * pieces))
+        .drop("n", "low", "high")
     )
-    bucket = Window.partitionBy("case_id", "key", "bucket")
-    so_far = bucket.orderBy("event_seq", "sub_seq").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+
+
+def _segments(fields: DataFrame, reviews: DataFrame, bucket_rows: int) -> DataFrame:
+    """Mentions by the field they follow, within buckets of the timeline.
+
+    A mention changes the field with its key that arrived last before it. One
+    row per (case, key, bucket, arrived field): how many mentions followed it in
+    the bucket, and the last of them. ``target`` is null where the bucket holds
+    no earlier arrival.
+    """
+    timeline = _timeline(fields, reviews, bucket_rows)
+    so_far = (
+        Window.partitionBy("case_id", "key", "bucket")
+        .orderBy("place")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     is_mention = F.col("value").isNotNull()
     return (
@@ -74,25 +106,23 @@ def _segments(fields: DataFrame, reviews: DataFrame, bucket_positions: int) -> D
         .groupBy("case_id", "key", "bucket", "target")
         .agg(
             F.count("value").alias("times"),
-            F.max(
-                F.when(is_mention, F.struct("event_seq", "sub_seq", "value"))
-            ).alias("last"),
-            F.min(F.when(is_mention, F.struct("event_seq", "sub_seq"))).alias("first"),
-            F.max(F.struct("event_seq", "sub_seq")).alias("until"),
+            F.max(F.when(is_mention, F.struct("place", "value"))).alias("last"),
+            F.min(F.when(is_mention, F.col("place"))).alias("first"),
+            F.max("place").alias("until"),
         )
     )
 
 
 def mention_targets(
-    fields: DataFrame, reviews: DataFrame, bucket_positions: int = BUCKET_POSITIONS
+    fields: DataFrame, reviews: DataFrame, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Per changed field: its last mention and how often it was mentioned.
 
     ``target`` is null for mentions no field preceded. What a bucket passes on
     to the next ones is one row per (case, key, bucket), so the only window over
-    a whole (case, key) runs over those, however many events a case has.
+    a whole (case, key) runs over those.
     """
-    segments = _segments(fields, reviews, bucket_positions)
+    segments = _segments(fields, reviews, bucket_rows)
     within = segments.filter(F.col("target").isNotNull() & (F.col("times") > 0)).select(
         "case_id", "key", "target", "times", "last", "first"
     )
@@ -126,71 +156,70 @@ def mention_targets(
 
 
 def apply_case_reviews(
-    fields: DataFrame, reviews: DataFrame, bucket_positions: int = BUCKET_POSITIONS
+    fields: DataFrame, reviews: DataFrame, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Fields of the cases after all reviews, reviewer-entered ones included."""
-    targets = mention_targets(fields, reviews, bucket_positions)
-    # A mention without a target enters a field of its own. Having an id as well,
-    # such rows are spread over the join like all others.
-    entered_id = stable_id("fld", F.col("case_id"), F.lit(REVIEWER), F.col("key"))
-    changes = targets.select(
-        F.coalesce("target", entered_id).alias("field_id"),
-        F.struct(
-            "case_id",
-            "key",
-            "value",
-            "first",
-            F.col("target").isNull().alias("entered"),
-            # Entered and never changed afterwards: taken as it is.
-            (F.col("target").isNull() & (F.col("times") == 1)).alias("unchecked"),
-            validate(F.col("key"), F.col("value"), F.lit(GENERIC_DOCUMENT_TYPE)).alias("check"),
-        ).alias("change"),
-    )
-    joined = fields.join(changes, "field_id", "full")
+    """Fields of the cases after all reviews, reviewer-entered ones included.
 
+    Changes meet the fields in a left join, so a few of them can be broadcast;
+    entered fields are added, each of them once.
+    """
+    targets = mention_targets(fields, reviews, bucket_rows).withColumn(
+        "check", validate(F.col("key"), F.col("value"), F.lit(GENERIC_DOCUMENT_TYPE))
+    )
+    changes = targets.filter("target IS NOT NULL").select(
+        F.col("target").alias("field_id"), F.struct("value", "check").alias("change")
+    )
     change = F.col("change")
-    reviewed = change.isNotNull()
-    entered = F.coalesce(change["entered"], F.lit(False))
-    unchecked = F.coalesce(change["unchecked"], F.lit(False))
-    no_text = F.lit(None).cast("string")
-    entered_evidence = F.struct(
-        no_text.alias("document_id"),
-        F.lit(1).alias("source_page"),
-        F.lit(None).cast("array<int>").alias("bbox"),
-        F.lit(ENTERED_EVIDENCE).alias("evidence_text"),
-        no_text.alias("image_crop_uri"),
-    ).cast(EVIDENCE)
-    # Columns of an entered field that other fields bring along.
-    when_entered = {
-        "case_id": change["case_id"],
-        "event_seq": change["first"]["event_seq"],
-        "field_seq": change["first"]["sub_seq"],
-        "key": change["key"],
-        "label": title_label(change["key"]),
-        "required": F.lit(True),
-        "evidence": entered_evidence,
-        "review_status": F.lit(DEFAULT_REVIEW_STATUS),
-    }
-    # Columns a review sets on either kind.
-    when_reviewed = {
+    when_changed = {
         "value": change["value"],
         "confidence": F.lit(REVIEWED_CONFIDENCE),
-        "source": F.when(unchecked, ENTERED_SOURCE).otherwise(VERIFIED_SOURCE),
-        "validation_status": F.when(unchecked, "valid").otherwise(change["check"]["status"]),
-        "validation_message": F.when(unchecked, ENTERED_MESSAGE).otherwise(
-            change["check"]["message"]
-        ),
+        "source": F.lit(VERIFIED_SOURCE),
+        "validation_status": change["check"]["status"],
+        "validation_message": change["check"]["message"],
         "extracted_by": F.lit(REVIEWER),
     }
+    kept = fields.join(changes, "field_id", "left").select(
+        *[
+            F.when(change.isNotNull(), when_changed[name]).otherwise(F.col(name)).alias(name)
+            if name in when_changed
+            else F.col(name)
+            for name in FIELD_COLUMNS
+        ]
+    )
+    return kept.unionByName(_entered(targets.filter("target IS NULL")))
 
-    def column(name: str):
-        if name in when_entered:
-            return F.when(entered, when_entered[name]).otherwise(F.col(name)).alias(name)
-        if name in when_reviewed:
-            return F.when(reviewed, when_reviewed[name]).otherwise(F.col(name)).alias(name)
-        return F.col(name)
 
-    return joined.select(*[column(name) for name in FIELD_COLUMNS])
+def _entered(targets: DataFrame) -> DataFrame:
+    """Fields that reviewers entered, no document having brought their key before."""
+    no_text = F.lit(None).cast("string")
+    # Entered and never changed afterwards: taken as it is.
+    unchecked = F.col("times") == 1
+    columns = {
+        "case_id": F.col("case_id"),
+        "document_id": no_text,
+        "field_id": stable_id("fld", F.col("case_id"), F.lit(REVIEWER), F.col("key")),
+        "event_seq": F.col("first.event_seq"),
+        "field_seq": F.col("first.sub_seq"),
+        "key": F.col("key"),
+        "label": title_label(F.col("key")),
+        "value": F.col("value"),
+        "confidence": F.lit(REVIEWED_CONFIDENCE),
+        "required": F.lit(True),
+        "source": F.when(unchecked, ENTERED_SOURCE).otherwise(VERIFIED_SOURCE),
+        "validation_status": F.when(unchecked, "valid").otherwise(F.col("check.status")),
+        "validation_message": F.when(unchecked, ENTERED_MESSAGE).otherwise(F.col("check.message")),
+        "bbox": F.lit(None).cast("array<bigint>"),
+        "evidence": F.struct(
+            no_text.alias("document_id"),
+            F.lit(1).cast("long").alias("source_page"),
+            F.lit(None).cast("array<bigint>").alias("bbox"),
+            F.lit(ENTERED_EVIDENCE).alias("evidence_text"),
+            no_text.alias("image_crop_uri"),
+        ).cast(EVIDENCE),
+        "extracted_by": F.lit(REVIEWER),
+        "review_status": F.lit(DEFAULT_REVIEW_STATUS),
+    }
+    return targets.select(*[columns[name].alias(name) for name in FIELD_COLUMNS])
 
 
 def apply_document_reviews(fields: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -198,7 +227,7 @@ def apply_document_reviews(fields: DataFrame, reviews: DataFrame) -> DataFrame:
     latest = (
         mentions(reviews, "document_id")
         .groupBy("document_id", "key")
-        .agg(F.max_by("value", "event_seq").alias("new_value"))
+        .agg(F.max_by("value", F.struct("event_seq", "mention_seq", "value")).alias("new_value"))
     )
     joined = fields.join(latest, ["document_id", "key"], "left").withColumn(
         "check", validate(F.col("key"), F.col("new_value"), F.col("document_type"))
@@ -231,12 +260,16 @@ def review_decisions(reviews: DataFrame, subject: str = "case") -> DataFrame:
 
 
 def review_state(reviews: DataFrame, target: str = "case_id") -> DataFrame:
-    """Reviewer, note and time of the last review per target."""
+    """Reviewer, note and time of the last review per target.
+
+    Reviews with one sequence number follow each other by time, then by content.
+    """
+    place = F.struct("event_seq", "reviewed_at", "reviewer", "decision", "note")
     return (
         reviews.groupBy(target)
         .agg(
-            F.max_by(F.struct("reviewer", "note", "reviewed_at"), "event_seq").alias("review"),
-            F.max_by(decided_status(F.col("decision")), "event_seq").alias("status_after"),
+            F.max_by(F.struct("reviewer", "note", "reviewed_at"), place).alias("review"),
+            F.max_by(decided_status(F.col("decision")), place).alias("status_after"),
         )
         .select(target, "review.*", "status_after")
     )

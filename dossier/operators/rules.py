@@ -118,7 +118,7 @@ def rule_fields(
             F.lit(True).alias("required"),
             F.lit(SOURCE).alias("source"),
             bbox.alias("bbox"),
-            F.lit(1).alias("source_page"),
+            F.lit(1).cast("long").alias("source_page"),
             bbox.alias("evidence_bbox"),
             F.lit(evidence_text).alias("evidence_text"),
             F.lit(EXTRACTOR).alias("extracted_by"),

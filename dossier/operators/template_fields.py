@@ -9,13 +9,6 @@ from dossier.functions.rounding import round2
 from dossier.functions.scoring import overall_confidence, route
 from dossier.functions.validation import validate
 from dossier.schemas import DEFAULT_EXTRACTOR, DEFAULT_REVIEW_STATUS
-from dossier.skew import with_part
-
-# Observations of one document that go into one raw-text field at most.
-RAW_TEXT_OBSERVATIONS = 100_000
-
-# Position of raw-text fields, behind every template field.
-RAW_FIELD_SEQ = 1000
 
 # Fixed values of the raw-text field.
 RAW_KEY = "raw_text"
@@ -35,7 +28,7 @@ def latest_observations(observations: DataFrame) -> DataFrame:
         observations.groupBy(
             "document_id", F.coalesce("field_key", F.lit("None")).alias("key")
         )
-        .agg(F.max_by(F.struct("text", "confidence"), "obs_seq").alias("last"))
+        .agg(F.max_by(F.struct("text", "confidence"), F.struct("obs_seq", "text", "confidence")).alias("last"))
         .select("document_id", "key", "last.text", "last.confidence")
     )
 
@@ -71,34 +64,29 @@ def template_fields(
         F.lit("template").alias("source"),
         F.col("check.status").alias("validation_status"),
         F.col("check.message").alias("validation_message"),
-        "bbox",
+        F.col("bbox").cast("array<bigint>").alias("bbox"),
         F.lit(DEFAULT_EXTRACTOR).alias("extracted_by"),
         F.lit(DEFAULT_REVIEW_STATUS).alias("review_status"),
     )
 
 
-def raw_text_fields(
-    fields: DataFrame, observations: DataFrame, limit: int = RAW_TEXT_OBSERVATIONS
-) -> DataFrame:
+def raw_text_fields(fields: DataFrame, observations: DataFrame) -> DataFrame:
     """One raw-text field per document none of whose template fields has a value.
 
-    Only those documents' texts are shuffled. A document with more than
-    ``limit`` observations continues in further raw-text fields, in order.
+    Only those documents' texts are shuffled. The field stands behind the template's
+    own fields and holds all lines of its document, which is as long as the document.
     """
     unread = (
         fields.groupBy("document_id", "document_type")
-        .agg(F.bool_or(F.col("value") != "").alias("read"))
+        .agg(
+            F.bool_or(F.col("value") != "").alias("read"),
+            F.count(F.lit(1)).cast("int").alias("field_seq"),
+        )
         .filter(~F.col("read"))
-        .select("document_id", "document_type")
-    )
-    numbered = with_part(observations, "document_id", "obs_seq", limit)
-    later_parts = numbered.filter(F.col("part") > 0).select("document_id", "part").distinct()
-    # Joined on the part as well: a long document's texts go to several tasks.
-    unread_parts = unread.withColumn("part", F.lit(0).cast("long")).unionByName(
-        unread.join(later_parts, "document_id")
+        .select("document_id", "document_type", "field_seq")
     )
-    lines = numbered.join(unread_parts, ["document_id", "part"])
-    texts = lines.groupBy("document_id", "document_type", "part").agg(
+    lines = observations.join(unread, "document_id")
+    texts = lines.groupBy("document_id", "document_type", "field_seq").agg(
         F.array_join(
             F.transform(
                 F.array_sort(
@@ -112,7 +100,7 @@ def raw_text_fields(
     return texts.filter(F.col("value") != "").select(
         "document_id",
         "document_type",
-        (F.lit(RAW_FIELD_SEQ) + F.col("part")).cast("int").alias("field_seq"),
+        "field_seq",
         F.lit(RAW_KEY).alias("key"),
         F.lit(RAW_LABEL).alias("label"),
         "value",
@@ -121,7 +109,7 @@ def raw_text_fields(
         F.lit("ocr").alias("source"),
         F.lit(RAW_STATUS).alias("validation_status"),
         F.lit(RAW_MESSAGE).alias("validation_message"),
-        F.lit(None).cast("array<int>").alias("bbox"),
+        F.lit(None).cast("array<bigint>").alias("bbox"),
         F.lit(DEFAULT_EXTRACTOR).alias("extracted_by"),
         F.lit(DEFAULT_REVIEW_STATUS).alias("review_status"),
     )

@@ -16,9 +16,11 @@ from dossier.functions.rows import exploded, with_computed
 from dossier.functions.text import or_else, stable_id
 from dossier.functions.validation import validate
 from dossier.operators.blocks import all_text, document_pages, first_bbox
+from dossier.operators.intake import check_domain
 from dossier.operators.responses import (
     FAILURE_CODE,
     FAILURE_PREFIX,
+    latest_responses,
     parse_responses,
 )
 from dossier.operators.rules import (
@@ -81,9 +83,13 @@ def process_documents(
 ) -> DataFrame:
     """One row per document of a known case, its fields and findings nested.
 
+    Uploads that declare a foreign type are left out (``intake.check_domain`` gives
+    them with the reason), and of several responses to a document the last counts.
+
     ``responses=None`` means the model step is switched off: every document is
     read by rules. ``keep_pages`` carries the text blocks along for exports.
     """
+    uploads, _ = check_domain(uploads, "upload")
     # Cases may be very unequal in size, so only ids meet them. What was read off
     # the text (and the pages, if kept) is shuffled once, by its own document's id.
     case_types = (
@@ -96,7 +102,11 @@ def process_documents(
             "*", *[F.lit(None).cast(field.dataType).alias(field.name) for field in PARSED]
         )
     else:
-        verdicts = case_types.join(parse_responses(responses), "document_id", "left")
+        # Responses to other documents are dropped before they are parsed.
+        wanted = responses.join(case_types.select("document_id"), "document_id", "left_semi")
+        verdicts = case_types.join(
+            parse_responses(latest_responses(wanted)), "document_id", "left"
+        )
     answered = document_signals(uploads, rules, keep_pages).join(verdicts, "document_id")
 
     parsed = F.col("outcome") == "parsed"

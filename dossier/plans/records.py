@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -15,27 +15,36 @@ from dossier.session import materialise
 from dossier.sources.templates import templates, without_template
 
 
-class TemplateRun(NamedTuple):
-    records: DataFrame
-    fields: DataFrame
-    rejected: DataFrame
+class TemplateRun:
+    """Records, fields and rejected documents, each planned when asked for.
+
+    The template fields are written once: the scores, the raw-text fallback and
+    the fields themselves all start from them.
+    """
+
+    def __init__(self, documents: DataFrame, observations: DataFrame, template_table: DataFrame):
+        self._documents, self._observations, self._table = documents, observations, template_table
+        self._written = materialise(
+            template_fields(documents, observations, template_table), "template-fields"
+        )
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return document_records(self._documents, self._written)
+
+    @cached_property
+    def fields(self) -> DataFrame:
+        return self._written.unionByName(raw_text_fields(self._written, self._observations))
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        return without_template(self._documents, self._table)
 
 
 def read_by_template(
     documents: DataFrame, observations: DataFrame, template_table: DataFrame | None = None
 ) -> TemplateRun:
-    """Fields, records, and the documents whose type has no template.
-
-    The template fields are written once: the scores, the raw-text fallback and
-    the result itself all start from them.
-    """
+    """Fields, records, and the documents whose type has no template."""
     if template_table is None:
         template_table = templates(documents.sparkSession)
-    fields = materialise(
-        template_fields(documents, observations, template_table), "template-fields"
-    )
-    return TemplateRun(
-        records=document_records(documents, fields),
-        fields=fields.unionByName(raw_text_fields(fields, observations)),
-        rejected=without_template(documents, template_table),
-    )
+    return TemplateRun(documents, observations, template_table)

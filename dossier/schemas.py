@@ -116,7 +116,7 @@ BLOCK = T.StructType(
     [
         T.StructField("block_index", T.IntegerType()),
         T.StructField("text", T.StringType()),
-        T.StructField("bbox", T.ArrayType(T.IntegerType())),
+        T.StructField("bbox", T.ArrayType(T.LongType())),
         T.StructField("confidence", T.DoubleType()),
         T.StructField("block_type", T.StringType()),
         T.StructField("language", T.StringType()),
@@ -136,8 +136,8 @@ PAGE = T.StructType(
 EVIDENCE = T.StructType(
     [
         T.StructField("document_id", T.StringType()),
-        T.StructField("source_page", T.IntegerType()),
-        T.StructField("bbox", T.ArrayType(T.IntegerType())),
+        T.StructField("source_page", T.LongType()),
+        T.StructField("bbox", T.ArrayType(T.LongType())),
         T.StructField("evidence_text", T.StringType()),
         T.StructField("image_crop_uri", T.StringType()),
     ]
@@ -152,9 +152,9 @@ RAW_FIELD = T.StructType(
         T.StructField("confidence", T.DoubleType()),
         T.StructField("required", T.BooleanType()),
         T.StructField("source", T.StringType()),
-        T.StructField("bbox", T.ArrayType(T.IntegerType())),
-        T.StructField("source_page", T.IntegerType()),
-        T.StructField("evidence_bbox", T.ArrayType(T.IntegerType())),
+        T.StructField("bbox", T.ArrayType(T.LongType())),
+        T.StructField("source_page", T.LongType()),
+        T.StructField("evidence_bbox", T.ArrayType(T.LongType())),
         T.StructField("evidence_text", T.StringType()),
         T.StructField("extracted_by", T.StringType()),
     ]
@@ -189,7 +189,7 @@ TEMPLATES = T.StructType(
         T.StructField("key", T.StringType(), False),
         T.StructField("label", T.StringType(), False),
         T.StructField("required", T.BooleanType(), False),
-        T.StructField("bbox", T.ArrayType(T.IntegerType()), False),
+        T.StructField("bbox", T.ArrayType(T.LongType()), False),
     ]
 )
 

@@ -9,23 +9,28 @@ from dossier import schemas
 from dossier.functions.text import stable_id
 
 
+# Partition columns are named as text: an id of digits stays as it is.
+_UPLOADED_FILES = (
+    "path string, modificationTime timestamp, length long, content binary, "
+    "case_id string, declared_document_type string"
+)
+
+
 def read_uploads(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Files under ``case_id=<id>/[declared_document_type=<type>/]`` as uploads.
+    """Files under ``case_id=<id>/declared_document_type=<type>/`` as uploads.
 
-    The sequence number of an upload is its modification time in microseconds.
+    Both are partition columns, so a filter on them leaves other folders unread; an
+    upload without a declared type lies under ``unknown``. The sequence number of an upload is its modification time in microseconds.
     """
     reader = spark.readStream if streaming else spark.read
-    files = reader.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = reader.format("binaryFile").schema(_UPLOADED_FILES).load(path)
     uploaded_at = F.col("modificationTime")
-    declared = F.regexp_extract("path", "/declared_document_type=([^/]+)/", 1)
     return files.select(
-        F.nullif(F.regexp_extract("path", "/case_id=([^/]+)/", 1), F.lit("")).alias("case_id"),
+        "case_id",
         stable_id("doc", F.col("path")).alias("document_id"),
         F.regexp_extract("path", "[^/]+$", 0).alias("filename"),
         "content",
-        F.coalesce(F.nullif(declared, F.lit("")), F.lit("unknown")).alias(
-            "declared_document_type"
-        ),
+        F.coalesce("declared_document_type", F.lit("unknown")).alias("declared_document_type"),
         uploaded_at.cast("timestamp_ntz").alias("uploaded_at"),
         F.unix_micros(uploaded_at).alias("event_seq"),
     )
@@ -56,10 +61,15 @@ def read_reviews(spark: SparkSession, path: str, format_: str = "parquet") -> Da
 def named(uploads: DataFrame) -> DataFrame:
     """Adds the ``stored_name`` of an upload; it also serves for an empty filename.
 
+    An upload that declares no type is of type ``unknown``.
+
     The stored name is the upload time to the microsecond, a dash, the filename.
     """
     stored = stored_name(F.col("filename"), F.col("uploaded_at"))
-    return uploads.withColumn("stored_name", stored).withColumn(
+    filled = {"stored_name": stored}
+    if "declared_document_type" in uploads.columns:
+        filled["declared_document_type"] = F.coalesce("declared_document_type", F.lit("unknown"))
+    return uploads.withColumns(filled).withColumn(
         "filename", F.coalesce(F.nullif("filename", F.lit("")), "stored_name")
     )
 

@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-JSON_OPTIONS = {
-    "ignoreNullFields": "false",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-}
+from dossier.operators.exports import JSON_OPTIONS
 
 
-def append_audit(audit: DataFrame, path: str) -> None:
-    """Append audit rows, one folder per day.
+def append_audit(audit: DataFrame, path: str, run_id: str) -> None:
+    """Add a run's audit rows, in a folder of the run with one folder per day.
 
-    Rows of a day are brought together before writing, so that writers do not
-    open every day's folder; a day with very many rows is split over writers.
+    A run that is repeated replaces its own rows and no others. Rows of a day are
+    brought together before writing, so that writers do not open every day's
+    folder; a day with very many rows is split over writers.
     """
-    dated = audit.withColumn("day", F.to_date("created_at"))
-    dated.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    dated = audit.withColumn("day", F.to_date("created_at")).hint("rebalance", "day")
+    dated.write.mode("overwrite").partitionBy("day").parquet(f"{path}/run_id={run_id}")
 
 
 def write_exports(exports: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from dossier.operators.reviews import apply_case_reviews
+from dossier.session import exists
 
 # The review log is laid out by this many case buckets, so that a micro-batch
 # reads only the buckets of the cases it touches.
@@ -36,7 +38,10 @@ def apply_review_batch(
         .partitionBy("bucket")
         .parquet(f"{log}/batch={batch_id}")
     )
-    written = spark.read.parquet(log).filter(F.col("batch") <= batch_id)
+    logged = StructType(
+        [*batch.schema.fields, StructField("bucket", LongType()), StructField("batch", LongType())]
+    )
+    written = spark.read.schema(logged).parquet(log).filter(F.col("batch") <= batch_id)
     touched = written.filter(F.col("batch") == batch_id).select("case_id", "bucket").distinct()
     # At most CASE_BUCKETS numbers; as literals they prune the log's folders.
     buckets = [row[0] for row in touched.select("bucket").distinct().collect()]
@@ -72,8 +77,14 @@ def stream_reviews(
 
 
 def reviewed_fields(spark: SparkSession, fields: DataFrame, path: str) -> DataFrame:
-    """Each case as its latest batch left it; untouched cases from ``fields``."""
-    versions = spark.read.parquet(f"{path}/fields")
+    """Each case as its latest batch left it; untouched cases from ``fields``.
+
+    Before the first batch these are all of them.
+    """
+    if not exists(spark, f"{path}/fields"):
+        return fields
+    stored = StructType([*fields.schema.fields, StructField("batch", LongType())])
+    versions = spark.read.schema(stored).parquet(f"{path}/fields")
     latest = versions.groupBy("case_id").agg(F.max("batch").alias("batch"))
     current = versions.join(latest, ["case_id", "batch"], "left_semi").drop("batch")
     untouched = fields.join(latest, "case_id", "left_anti")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import restated
 from dossier.operators import reviews
@@ -9,8 +10,8 @@ from dossier.schemas import REVIEWS
 FIELDS = (
     "case_id string, document_id string, field_id string, event_seq long, field_seq int, key string, "
     "label string, value string, confidence double, required boolean, source string, "
-    "validation_status string, validation_message string, bbox array<int>, "
-    "evidence struct<document_id:string,source_page:int,bbox:array<int>,evidence_text:string,image_crop_uri:string>, "
+    "validation_status string, validation_message string, bbox array<bigint>, "
+    "evidence struct<document_id:string,source_page:bigint,bbox:array<bigint>,evidence_text:string,image_crop_uri:string>, "
     "extracted_by string, review_status string"
 )
 
@@ -52,13 +53,16 @@ def tables(spark, cases):
     return spark.createDataFrame(fields, FIELDS), spark.createDataFrame(found, REVIEWS)
 
 
-@pytest.mark.parametrize("bucket_positions", [1 << 20, 3])
-def test_fold_equals_events_one_by_one(spark, bucket_positions):
-    """Also with buckets so small that every history crosses several."""
+@pytest.mark.parametrize("bucket_rows", [1 << 20, 3])
+@pytest.mark.parametrize("unit", [1, 1_000_000])
+def test_fold_equals_events_one_by_one(spark, bucket_rows, unit):
+    """Also with buckets so small that every history crosses several, in any unit."""
     cases = list(histories(120, 11))
     fields, found = tables(spark, cases)
+    seq = F.lit(1_700_000_000_000_000) + F.col("event_seq") * unit
+    fields, found = fields.withColumn("event_seq", seq), found.withColumn("event_seq", seq)
     got = {}
-    for row in reviews.apply_case_reviews(fields, found, bucket_positions).collect():
+    for row in reviews.apply_case_reviews(fields, found, bucket_rows).collect():
         got.setdefault(row.case_id, []).append(
             (row.key, row.value, row.source, row.validation_status)
         )
@@ -79,6 +83,24 @@ def test_entered_field(spark):
     assert changed.document_id == "c-0" and changed.review_status == "needs_review"
 
 
+def test_hot_key_and_tied_numbers(spark):
+    """A third of all events on one (case, key), many with one number: one winner, always."""
+    hot = [{"fields": [("a_x", "0")]}] + [{"updates": {"a_x": str(n)}} for n in range(400)]
+    fields, found = tables(spark, [("hot", hot), *histories(40, 3)])
+    # Two events at a time share a number.
+    tied = F.floor(F.col("event_seq") / 2)
+    fields, found = fields.withColumn("event_seq", tied), found.withColumn("event_seq", tied)
+    results = []
+    for parts, bucket_rows in ((1, 1 << 20), (7, 50), (3, 5)):
+        rows = reviews.apply_case_reviews(fields.repartition(parts), found.repartition(parts), bucket_rows)
+        results.append(sorted((r.case_id, r.key, r.value, r.source, r.field_id) for r in rows.collect()))
+    assert results[0] == results[1] == results[2]
+    # The last number holds review 399 alone.
+    assert ("hot", "a_x", "399", "reviewer_verified", "hot-0/0") in results[0]
+    state = reviews.review_state(found.repartition(5)).filter("case_id = 'hot'").first()
+    assert state.reviewer == "r400"
+
+
 def test_last_review_counts(spark):
     found = spark.createDataFrame(
         [review("c", 2, {}, "approve"), review("c", 9, {}, "reject"), review("c", 5, {}, "approve")], REVIEWS

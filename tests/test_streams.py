@@ -19,6 +19,8 @@ def test_reviews_arriving_in_any_order(spark, tmp_path):
     late.write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "arriving"))
     arriving = spark.readStream.schema(REVIEWS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "arriving"))
     path = str(tmp_path / "out")
+    # Nothing has arrived yet.
+    assert _rows(reviewed_fields(spark, fields, path)) == _rows(fields)
     stream_reviews(arriving, fields, path, str(tmp_path / "state")).awaitTermination()
     expected = _rows(apply_case_reviews(fields, found))
     assert _rows(reviewed_fields(spark, fields, path)) == expected
