@@ -610,6 +610,11 @@ SELECT concat(document_id, '/', field_seq) AS field_id, label,
 FINALS["stream_blocks"] = FINALS["ocr_blocks"]
 FINALS["stream_fields"] = FINALS["finalize_fields"]
 FINALS["stream_reviews"] = FINALS["case_review_fields"]
+FINALS["stream_status"] = FINALS["case_review_state"]
+FINALS["stream_document_reviews"] = FINALS["document_review_fields"]
+FINALS["stream_audit"] = f"""
+SELECT case_id AS target_id, event_seq, 0 AS sub_seq, {_CASE_ACTION} AS action, reviewer AS actor, note,
+  strftime(reviewed_at, '{AT}') AS created_at FROM o_reviews"""
 
 
 def _used(sql: str) -> list[str]:

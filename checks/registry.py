@@ -654,11 +654,41 @@ def stream_reviews(f: Flows) -> DataFrame:
     folder = _stream_folder(f.spark)
     fields = materialise(processing.document_fields(f.documents), "fields")
     review_stream.stream_reviews(
-        _arriving(f.known_reviews, folder), fields, folder, f"{folder}/state"
+        _arriving(f.known_reviews, folder), fields, folder, f"{folder}/state-of-query"
     ).awaitTermination()
     return _flat_fields(review_stream.reviewed_fields(f.spark, fields, folder), "event_seq")
 
 
+def _case_review_folder(f: Flows) -> str:
+    folder = _stream_folder(f.spark)
+    fields = materialise(processing.document_fields(f.documents), "fields")
+    review_stream.stream_reviews(
+        _arriving(f.known_reviews, folder), fields, folder, f"{folder}/state-of-query"
+    ).awaitTermination()
+    return folder
+
+
+def stream_status(f: Flows) -> DataFrame:
+    state = review_stream.last_decisions(f.spark, _case_review_folder(f))
+    return state.select("case_id", "reviewer", "note", _moment("reviewed_at"), "status_after")
+
+
+def stream_audit(f: Flows) -> DataFrame:
+    return _flat_audit(review_stream.review_audit(f.spark, _case_review_folder(f)))
+
+
+def stream_document_reviews(f: Flows) -> DataFrame:
+    folder = _stream_folder(f.spark)
+    fields = materialise(f.template_run.fields, "fields")
+    arriving = _arriving(f.document_reviews, folder)
+    review_stream.stream_reviews(
+        arriving, fields, folder, f"{folder}/state-of-query", target="document_id"
+    ).awaitTermination()
+    return review_stream.reviewed_fields(f.spark, fields, folder, "document_id").select(
+        "document_id", "key", "value", "confidence", "source", "validation_status", "validation_message"
+    )
+
+
 QUERIES = {
     "decode_uploads": decode_uploads,
     "ocr_blocks": ocr_blocks,
@@ -719,6 +749,9 @@ QUERIES = {
     "stream_blocks": stream_blocks,
     "stream_fields": stream_fields,
     "stream_reviews": stream_reviews,
+    "stream_status": stream_status,
+    "stream_audit": stream_audit,
+    "stream_document_reviews": stream_document_reviews,
 }
 
 

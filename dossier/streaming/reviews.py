@@ -1,61 +1,78 @@
-"""Reviews applied as they arrive."""
+"""Reviews applied as they arrive: fields, last decision and audit rows.
+
+Reviews are logged in folders named after the micro-batch and a bucket of their
+target's id. The order of reviews is their ``event_seq``, not their arrival: a batch
+recomputes the targets it touches from their whole log, read from their buckets only,
+so late reviews need no watermark. All outputs are folders named after the batch, so
+running a batch again changes nothing.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from dossier.operators.reviews import apply_case_reviews
+from dossier.operators.audit import reviewed as audit_rows
+from dossier.operators.reviews import apply_case_reviews, apply_document_reviews, review_state
 from dossier.session import exists
 
-# The review log is laid out by this many case buckets, so that a micro-batch
-# reads only the buckets of the cases it touches.
-CASE_BUCKETS = 32
+# The log is laid out by this many buckets of ids. To be raised with the number of
+# targets, before the first batch: a batch reads the buckets of its targets.
+BUCKETS = 32
 
+# What the reviews of one kind are about, and what audit actions call it.
+SUBJECTS = {"case_id": "case", "document_id": "review"}
 
-def _case_bucket() -> Column:
-    return F.pmod(F.hash("case_id"), F.lit(CASE_BUCKETS))
 
+def _bucket(target: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(target), F.lit(buckets))
 
-def apply_review_batch(
-    batch: DataFrame, batch_id: int, fields: DataFrame, path: str
-) -> None:
-    """Log the batch's reviews and recompute the cases they touch.
 
-    The order of reviews is their ``event_seq``, not their arrival: a late
-    review makes its case be recomputed from the whole log, so no watermark is
-    needed. Both outputs are folders named after the batch, so running a batch
-    again changes nothing.
-    """
-    spark = batch.sparkSession
-    log = f"{path}/reviews"
+def _logged(batch: DataFrame, batch_id: int, target: str, path: str, buckets: int) -> DataFrame:
+    """The batch's targets with all their reviews so far, this batch's included."""
+    spark, log = batch.sparkSession, f"{path}/reviews"
     (
-        batch.withColumn("bucket", _case_bucket())
+        batch.withColumn("bucket", _bucket(target, buckets))
         .hint("rebalance", "bucket")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(f"{log}/batch={batch_id}")
     )
-    logged = StructType(
+    stored = StructType(
         [*batch.schema.fields, StructField("bucket", LongType()), StructField("batch", LongType())]
     )
-    written = spark.read.schema(logged).parquet(log).filter(F.col("batch") <= batch_id)
-    touched = written.filter(F.col("batch") == batch_id).select("case_id", "bucket").distinct()
-    # At most CASE_BUCKETS numbers; as literals they prune the log's folders.
-    buckets = [row[0] for row in touched.select("bucket").distinct().collect()]
-    if not buckets:
+    written = spark.read.schema(stored).parquet(log).filter(F.col("batch") <= batch_id)
+    touched = written.filter(F.col("batch") == batch_id).select(target, "bucket").distinct()
+    # At most ``buckets`` numbers; as literals they prune the log's folders.
+    numbers = [row[0] for row in touched.select("bucket").distinct().collect()]
+    history = written.filter(F.col("bucket").isin(numbers))
+    return history.join(touched.select(target), target, "left_semi").drop("batch", "bucket")
+
+
+def apply_review_batch(
+    batch: DataFrame,
+    batch_id: int,
+    fields: DataFrame,
+    path: str,
+    target: str = "case_id",
+    buckets: int = BUCKETS,
+) -> None:
+    """Log the batch's reviews, recompute what they touch, and add their audit rows."""
+    if batch.isEmpty():
         return
-    history = written.filter(F.col("bucket").isin(buckets)).join(
-        touched.select("case_id"), "case_id", "left_semi"
-    )
-    concerned = fields.join(touched.select("case_id"), "case_id", "left_semi")
-    (
-        apply_case_reviews(concerned, history.drop("batch", "bucket"))
-        .write.mode("overwrite")
-        .parquet(f"{path}/fields/batch={batch_id}")
-    )
+    history = _logged(batch, batch_id, target, path, buckets)
+    apply: Callable = apply_case_reviews if target == "case_id" else apply_document_reviews
+    concerned = fields.join(history.select(target).distinct(), target, "left_semi")
+    for name, table in (
+        ("fields", apply(concerned, history)),
+        ("state", review_state(history, target)),
+        ("audit", audit_rows(batch, target, SUBJECTS[target])),
+    ):
+        table.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
 
 
 def stream_reviews(
@@ -64,11 +81,13 @@ def stream_reviews(
     path: str,
     checkpoint: str,
     trigger: dict | None = None,
+    target: str = "case_id",
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Apply arriving reviews to ``fields``; ``reviewed_fields`` reads the result."""
+    """Apply arriving reviews of cases, or of template documents, to ``fields``."""
     return (
         reviews.writeStream.foreachBatch(
-            lambda batch, batch_id: apply_review_batch(batch, batch_id, fields, path)
+            lambda batch, batch_id: apply_review_batch(batch, batch_id, fields, path, target, buckets)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
@@ -76,16 +95,45 @@ def stream_reviews(
     )
 
 
-def reviewed_fields(spark: SparkSession, fields: DataFrame, path: str) -> DataFrame:
-    """Each case as its latest batch left it; untouched cases from ``fields``.
+def _current(versions: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """(each target as its latest batch left it, the targets)."""
+    latest = versions.groupBy(target).agg(F.max("batch").alias("batch"))
+    return versions.join(latest, [target, "batch"], "left_semi").drop("batch"), latest
+
 
-    Before the first batch these are all of them.
+def reviewed_fields(
+    spark: SparkSession, fields: DataFrame, path: str, target: str = "case_id"
+) -> DataFrame:
+    """Fields after the reviews so far; what no review touched comes from ``fields``.
+
+    Before the first batch that is all of them.
     """
     if not exists(spark, f"{path}/fields"):
         return fields
     stored = StructType([*fields.schema.fields, StructField("batch", LongType())])
-    versions = spark.read.schema(stored).parquet(f"{path}/fields")
-    latest = versions.groupBy("case_id").agg(F.max("batch").alias("batch"))
-    current = versions.join(latest, ["case_id", "batch"], "left_semi").drop("batch")
-    untouched = fields.join(latest, "case_id", "left_anti")
-    return untouched.unionByName(current)
+    current, touched = _current(spark.read.schema(stored).parquet(f"{path}/fields"), target)
+    return fields.join(touched, target, "left_anti").unionByName(current)
+
+
+def last_decisions(spark: SparkSession, path: str, target: str = "case_id") -> DataFrame | None:
+    """Reviewer, note, time and status after the last review per target; None so far."""
+    if not exists(spark, f"{path}/state"):
+        return None
+    return _current(spark.read.parquet(f"{path}/state"), target)[0]
+
+
+def review_audit(spark: SparkSession, path: str) -> DataFrame | None:
+    """Audit rows of the reviews so far; None before the first batch."""
+    if not exists(spark, f"{path}/audit"):
+        return None
+    return spark.read.parquet(f"{path}/audit").drop("batch")
+
+
+def compact(spark: SparkSession, path: str, into: str, fields: DataFrame, target: str = "case_id") -> None:
+    """Write the current fields as a table of their own.
+
+    A stream started with that table as its ``fields`` and a new path goes on from it,
+    given that no review older than these arrives any more; the versions of the batches
+    before are then no longer needed.
+    """
+    reviewed_fields(spark, fields, path, target).write.mode("errorifexists").parquet(into)

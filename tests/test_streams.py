@@ -2,7 +2,15 @@
 
 from dossier.operators.reviews import apply_case_reviews
 from dossier.schemas import REVIEWS
-from dossier.streaming.reviews import apply_review_batch, reviewed_fields, stream_reviews
+from dossier.operators.reviews import review_state
+from dossier.streaming.reviews import (
+    apply_review_batch,
+    compact,
+    last_decisions,
+    review_audit,
+    reviewed_fields,
+    stream_reviews,
+)
 from test_reviews import histories, tables
 
 
@@ -25,9 +33,18 @@ def test_reviews_arriving_in_any_order(spark, tmp_path):
     expected = _rows(apply_case_reviews(fields, found))
     assert _rows(reviewed_fields(spark, fields, path)) == expected
 
+    states = [sorted(map(str, t.select("case_id", "reviewer", "status_after").collect()))
+              for t in (last_decisions(spark, path), review_state(found))]
+    assert states[0] == states[1]
+    assert review_audit(spark, path).count() == found.count()
+    compact(spark, path, str(tmp_path / "compacted"), fields)
+    assert _rows(spark.read.parquet(str(tmp_path / "compacted"))) == expected
+
     # A batch that runs again leaves everything as it was.
     last = max(row.batch for row in spark.read.parquet(f"{path}/reviews").select("batch").distinct().collect())
     again = spark.read.parquet(f"{path}/reviews").filter(f"batch = {last}").drop("batch", "bucket")
     rows = again.collect()
     apply_review_batch(spark.createDataFrame(rows, again.schema), last, fields, path)
     assert _rows(reviewed_fields(spark, fields, path)) == expected
+    assert review_audit(spark, path).count() == found.count()
+    assert last_decisions(spark, str(tmp_path / "none")) is None and review_audit(spark, str(tmp_path / "none")) is None
