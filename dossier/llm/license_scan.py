@@ -172,7 +172,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
         best.alias("best"), F.count_distinct("template", "word").alias("n_windows")
     ).select(
         "doc_id", "license", (-F.col("best.col3")).alias("template"), F.col("best.share").alias("containment"),
-        (-F.col("best.col2")).alias("word"), "n_windows",
+        (-F.col("best.col2")).cast("long").alias("word"), "n_windows",
     )
 
 

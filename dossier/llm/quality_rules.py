@@ -194,5 +194,5 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def op10_quality_rules(spark, sf_dir) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", F.col("host").alias("host_name"), "host_rate",
+        "base_failed", "kept", F.col("host").alias("host_name"), "host_docs", "host_failed", "host_verdict",
     )

@@ -14,6 +14,7 @@ from dossier.llm.quality_classifier import op9_quality_classifier
 from dossier.llm.quality_rules import op10_quality_rules
 from dossier.llm.simhash import op6_simhash
 from dossier.llm.suffix_dedup import op2_suffix_dedup
+from dossier.llm.twins import SQL
 from dossier.llm.url_filters import op3_url_filters
 
 
@@ -36,4 +37,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = SQL
