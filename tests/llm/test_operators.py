@@ -406,6 +406,15 @@ def test_hmm_scores(spark, odd, empty):
     assert (lone.n_tokens, lone.n_known, lone.base_score) == (1, 0, pytest.approx(0.0))
 
 
+def test_most_frequent_tokens(spark):
+    draw = random.Random(5)
+    rows = [(f"t{n}", draw.choice([1, 1, 1, 2, 3, 50, 51, 900])) for n in range(500)]
+    counts = spark.createDataFrame(rows, "token string, c long").repartition(6)
+    for limit in (1, 60, 130, 499, 900):
+        got = [(r.token, r.c) for r in hmm._most_frequent(counts, limit).collect()]
+        assert got == sorted(rows, key=lambda r: (-r[1], r[0]))[:limit]
+
+
 def toy_model(states, k, seed):
     draw = np.random.default_rng(seed)
     start, move, emit = (draw.random(s) for s in (states, (states, states), (states, k)))
