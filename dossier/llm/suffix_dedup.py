@@ -41,7 +41,9 @@ from dossier.session import materialise
 
 MATCH = 50
 GRAM = 12
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
+#: Of the bytes of a string before its anchor, so many count as many.
+LEFT = 19
 #: Bytes whose anchors are found at once.
 BLOCK_BYTES = 1 << 20
 #: Longer texts are cut into pieces that overlap by ``MATCH - 1`` bytes.
@@ -49,9 +51,8 @@ PIECE_BYTES = 16 << 20
 #: Documents looked at for anchors with many surroundings, and when an anchor has many.
 SAMPLE_DOCS = 20_000
 HOT_RUNS = 100
-LEVEL = 6
+LEVEL = 3
 
-_PLACE_BITS = np.uint64(28)
 _PLACE = np.uint64((1 << 28) - 1)
 _PRIME = np.uint64((1 << 31) - 1)
 _BASE = 1_000_003
@@ -60,9 +61,18 @@ _BASE = 1_000_003
 def _hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the ``GRAM`` bytes at each place of ``data`` but the last few."""
     loads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8")[:, 0]
-    n = len(loads) - (GRAM - 8)
-    h = loads[:n] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= loads[GRAM - 8 :] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return _mixed(loads[: len(loads) - (GRAM - 8)], loads[GRAM - 8 :])
+
+
+def _hashes_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The same hash at the given places only."""
+    loads = np.lib.stride_tricks.sliding_window_view(data, 8)
+    return _mixed(*(np.ascontiguousarray(loads[places + i]).view("<u8")[:, 0] for i in (0, GRAM - 8)))
+
+
+def _mixed(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    h = head * np.uint64(0x9E3779B97F4A7C15)
+    h ^= tail * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -98,8 +108,9 @@ def _pieces(docs: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, byte
         yield block
 
 
-def runs(docs: list[tuple[int, bytes]], hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    """Blocks of runs: documents, places, keys to deal them by, and their bytes.
+def runs(docs: list[tuple[int, bytes]], hot: np.ndarray) -> Iterator[tuple]:
+    """Blocks of runs: documents, places, keys to deal them by, the anchors' places in
+    the runs, and the runs' bytes.
 
     Runs come document by document as given. Those with an anchor in ``hot`` are
     split into their strings, whose key is a hash of the whole string.
@@ -141,7 +152,7 @@ def runs(docs: list[tuple[int, bytes]], hot: np.ndarray) -> Iterator[tuple[np.nd
         base = np.array([start for _, start, _ in block]) - (ends - sizes)
         ids = np.array([doc for doc, _, _ in block], np.int64)[piece]
         cut = [joined[a:b] for a, b in zip(first.tolist(), (last + MATCH).tolist())]
-        yield ids, first + base[piece], keys, cut
+        yield ids, first + base[piece], keys, anchor[first] - first, cut
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -153,17 +164,18 @@ def _numbers(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, n).T).view("<i8")[:, 0]
 
 
-def to_blob(ids: np.ndarray, places: np.ndarray, texts: list[bytes]) -> bytes:
+def to_blob(ids: np.ndarray, places: np.ndarray, anchors: np.ndarray, texts: list[bytes]) -> bytes:
     import zstandard
 
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)).astype(np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     steps = np.diff(ids, prepend=0)
-    parts = [np.int64(len(texts)).tobytes(), _planes(steps), _planes(places), sizes.tobytes(), *texts]
+    small = [x.astype(np.uint8).tobytes() for x in (sizes, anchors)]
+    parts = [np.int64(len(texts)).tobytes(), _planes(steps), _planes(places), *small, *texts]
     return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(parts))
 
 
-def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """(ids, places, sizes, bytes of all runs)."""
+def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(ids, places, anchors, sizes, bytes of all runs)."""
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(blob)
@@ -171,7 +183,8 @@ def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     at = 8 + 16 * n
     ids = np.cumsum(_numbers(data[8 : 8 + 8 * n], n))
     places = _numbers(data[8 + 8 * n : at], n)
-    return ids, places, np.frombuffer(data, np.uint8, n, at).astype(np.int64), data[at + n :]
+    sizes, anchors = np.frombuffer(data, np.uint8, 2 * n, at).astype(np.int64).reshape(2, n)
+    return ids, places, anchors, sizes, data[at + 2 * n :]
 
 
 def _merge_spans(ids: np.ndarray, low: np.ndarray, high: np.ndarray):
@@ -310,6 +323,27 @@ def _sort_plainly(data, start, end, group):
     return order, extension
 
 
+def _stretch(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Hash of ``size`` bytes, 8 or more, at each place."""
+    loads = np.lib.stride_tricks.sliding_window_view(data, 8)
+    h = np.zeros(len(places), np.uint64)
+    for step in [*range(0, size - 8, 8), size - 8]:
+        h = (h ^ np.ascontiguousarray(loads[places + step]).view("<u8")[:, 0]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _shared(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Rows whose key occurs in more than one document."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    sorted_keys, sorted_ids = keys[order], ids[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    several = np.minimum.reduceat(sorted_ids, first) != np.maximum.reduceat(sorted_ids, first)
+    return order[np.repeat(several, np.diff(np.append(first, len(order))))]
+
+
 def _least(key: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The smallest value among rows with the same key, for each row."""
     order = np.argsort(key, kind="stable")
@@ -321,20 +355,22 @@ def _least(key: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_spans(ids: np.ndarray, places: np.ndarray, sizes: np.ndarray, data: bytes):
+def repeated_spans(ids: np.ndarray, places: np.ndarray, anchors: np.ndarray, sizes: np.ndarray, data: bytes):
     """(ids, low, high): what the runs of a bucket say goes from which document."""
     buffer = np.frombuffer(data, np.uint8)
     offsets = np.cumsum(sizes) - sizes
-    h, anchors = _anchors(buffer)
-    at = anchors[offsets]
-    keys = h[at]
-    # Anchors of one document only are done with.
+    at = offsets + anchors
+    # A string has LEFT bytes before its anchor or MATCH - LEFT from it on; a run that
+    # shares neither with another document is done with.
+    met = np.zeros(len(ids), bool)
+    for enough, low, size in ((anchors >= LEFT, -LEFT, LEFT + GRAM), (sizes - anchors >= MATCH - LEFT, 0, MATCH - LEFT)):
+        rows = np.flatnonzero(enough)
+        met[rows[_shared(_stretch(buffer, at[rows] + low, size), ids[rows])]] = True
+    rows = np.flatnonzero(met)
+    keys = _hashes_at(buffer, at[rows])
     order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-    counts = np.diff(np.append(first, len(order)))
-    shared = np.minimum.reduceat(ids[order], first) != np.maximum.reduceat(ids[order], first)
-    rows = order[np.repeat(shared, counts)]
-    group = np.repeat(np.arange(len(first)), counts)[np.repeat(shared, counts)]
+    rows, keys = rows[order], keys[order]
+    group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))[: len(rows)]
     # Equal runs: all but the smallest document's go as a whole.
     numbers: dict[bytes, int] = {}
     kind = np.empty(len(rows), np.int64)
@@ -404,7 +440,7 @@ def hot_anchors(docs: DataFrame) -> np.ndarray:
             nothing = np.zeros(0, np.uint64)
             keys = [np.zeros(0, np.uint64)]
             texts: set[bytes] = set()
-            for _, _, found, cut in runs(_sorted_docs(chunk), nothing):
+            for _, _, found, _, cut in runs(_sorted_docs(chunk), nothing):
                 fresh = []
                 for text in cut:
                     fresh.append(text not in texts)
@@ -428,15 +464,15 @@ def spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     shared = spark.sparkContext.broadcast(hot_anchors(given))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for chunk in chunks(batches, "text", CHUNK_BYTES):
             first: dict[bytes, int] = {}
-            sent: list[list] = [[], [], [], []]
+            sent: list[list] = [[], [], [], [], []]
             gone: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for ids, places, keys, cut in runs(_sorted_docs(chunk), hot):
+            for ids, places, keys, anchors, cut in runs(_sorted_docs(chunk), hot):
                 owners = np.fromiter((first.setdefault(x, d) for x, d in zip(cut, ids.tolist())), np.int64, len(cut))
                 # The chunk is in order of id, so an earlier owner is smaller.
                 new = owners == ids
@@ -446,17 +482,18 @@ def spans(docs: DataFrame) -> DataFrame:
                 sent[0].append(ids[new])
                 sent[1].append(places[new])
                 sent[2].append(((keys[new] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64))
-                sent[3] += [x for x, keep in zip(cut, new.tolist()) if keep]
+                sent[3].append(anchors[new])
+                sent[4] += [x for x, keep in zip(cut, new.tolist()) if keep]
             first.clear()
             if not sent[0]:
                 continue
-            ids, places, bucket = (np.concatenate(x) for x in sent[:3])
+            ids, places, bucket, anchors = (np.concatenate(x) for x in sent[:4])
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            texts = sent[3]
+            texts = sent[4]
             for i, j in zip(edges.tolist(), np.append(edges[1:], len(order)).tolist()):
                 rows = order[i:j]
-                blob = to_blob(ids[rows], places[rows], [texts[r] for r in rows.tolist()])
+                blob = to_blob(ids[rows], places[rows], anchors[rows], [texts[r] for r in rows.tolist()])
                 yield _row(int(bucket[rows[0]]), True, blob)
             done = [np.concatenate(x) for x in zip(*gone)]
             if len(done[0]):
@@ -474,8 +511,8 @@ def spans(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in _merge_spans(ids, low, high)], ["doc_id", "low", "high"])
 
     def settle(blobs: list[bytes]) -> pa.RecordBatch:
-        ids, places, sizes, data = zip(*map(from_blob, blobs))
-        found = repeated_spans(*(np.concatenate(x) for x in (ids, places, sizes)), b"".join(data))
+        *numbers, data = zip(*map(from_blob, blobs))
+        found = repeated_spans(*map(np.concatenate, numbers), b"".join(data))
         return _out(*found)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,30 +538,34 @@ def spans(docs: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with n_bytes, n_removed, n_spans and ``kept`` (the bytes left)."""
-    gone = materialise(spans(docs), "spans").withColumnRenamed("doc_id", "_gone")
-    names = ["n_bytes", "n_removed", "n_spans", "kept"]
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    joined = docs.select(*rest).join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left").drop("_gone")
+def _with_cut(docs: DataFrame) -> DataFrame:
+    """(row, cut): each row as it was, and the struct (n_bytes, n_removed, n_spans, kept)."""
+    gone = materialise(spans(docs), "spans").withColumnRenamed("doc_id", "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(texts: pd.Series, spans_: pd.Series) -> pd.DataFrame:
-        rows = []
+        out = []
         for text, found in zip(texts, spans_):
             data = text.encode() if text else b""
             if found is None or not len(found):
-                rows.append((len(data), 0, 0, data))
+                out.append((len(data), 0, 0, data))
                 continue
             pairs = np.array([(x["low"], x["high"]) for x in found], np.int64)
             _, low, high = _merge_spans(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
             high = np.minimum(high, len(data))
             low = np.minimum(low, high)
             kept = [data[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(data)])]
-            rows.append((len(data), int((high - low).sum()), int((high > low).sum()), b"".join(kept)))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+            out.append((len(data), int((high - low).sum()), int((high > low).sum()), b"".join(kept)))
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.withColumn("_cut", cut(F.col("text").cast("string"), F.col("spans"))).select(*rest, "_cut.*")
+    joined = rows.join(gone, F.col("id") == F.col("gone"), "left")
+    return joined.select("row", cut(F.col("row.text").cast("string"), F.col("spans")).alias("cut"))
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the bytes left) of each row."""
+    return _with_cut(docs).select("row.doc_id", "cut.*")
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
@@ -538,16 +579,18 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     def valid(data: pd.Series) -> pd.Series:
         return data.map(lambda x: None if x is None else x.decode("utf-8", "ignore"))
 
-    names = {"n_removed": "_removed", "n_bytes": "_bytes", "n_spans": "_spans", "kept": "_kept"}
-    given = docs.withColumnsRenamed({c: f"_given_{c}" for c in names if c in docs.columns})
-    found = cut_repeats(given).withColumnsRenamed(names)
-    found = found.withColumnsRenamed({f"_given_{c}": c for c in names})
-    text = F.when(F.col("_removed") > 0, valid(F.col("_kept"))).otherwise(F.col("text"))
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        size = F.length(text).cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.col("_removed") > 0, size).otherwise(F.col("n_chars"))
-    return found.withColumns(changed).select(*docs.columns)
+    row, removed = F.col("row"), F.col("cut.n_removed") > 0
+    text = F.when(removed, valid(F.col("cut.kept"))).otherwise(row["text"])
+    rows = _with_cut(docs).withColumn("text", text)
+    out = []
+    for field in docs.schema:
+        value = row[field.name]
+        if field.name == "text":
+            value = F.col("text")
+        elif field.name == "n_chars":
+            value = F.when(removed, F.length("text").cast(field.dataType)).otherwise(value)
+        out.append(value.alias(field.name))
+    return rows.select(*out)
 
 
 def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
