@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.rows import with_computed
 from dossier.llm.common import BLANKS, let, table, words
 from dossier.session import materialise
 
@@ -179,14 +180,15 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns as they were.
 
     The facts are worked out twice, once for the hosts and once in the row that
-    is filtered: that costs less than sending the texts through a shuffle.
+    is filtered: that costs less than sending the texts through a shuffle. They are
+    fenced, or the filter would write their expression out once per mention.
     """
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
     verdicts = host_verdicts(
         docs.select(host.alias("host"), facts(F.col("text"), limits)["rule_failed"].alias("rule_failed")),
         limits,
     ).select(F.col("host").alias("_host"), F.col("host_verdict").alias("_verdict"))
-    found = docs.withColumn("_facts", facts(F.col("text"), limits)).withColumn("_host", host)
+    found = with_computed(docs.withColumn("_host", host), {"_facts": facts(F.col("text"), limits)})
     kept = _kept(F.col("_verdict"), F.col("_facts.base_failed"), F.col("_facts.rule_failed"))
     return found.join(verdicts, "_host").filter(kept).select(*(docs[c] for c in docs.columns))
 
