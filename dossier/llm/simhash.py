@@ -41,13 +41,13 @@ _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _BLANKS = re.compile(rb"[\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the shingles' hashes; zero without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words, of all words if fewer; none without words."""
     import xxhash
 
     words = _BLANKS.split((text or "").encode("utf-8", "replace").translate(_LOWER).strip(b" \t\n\x0b\x0c\r"))
     if words == [b""]:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = memoryview(b" ".join(words))
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -55,7 +55,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = (ends - sizes)[:n].tolist()
     ends = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(joined)]
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, n)
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bits set in over half of the shingles' hashes; zero without words."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for start in range(0, n, 4096):
         bits = np.unpackbits(hashes[start : start + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -77,3 +77,54 @@ def test_stages_on_nothing(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, str(tmp_path)), name)
         assert docs.count() == 0
+
+
+def jaccard(one, other):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (one.split(), other.split()))
+    return len(a & b) / len(a | b)
+
+
+def copy_of(draw, text, least):
+    """The text with words replaced while the similarity stays at ``least`` or above."""
+    made = text.split()
+    for place in draw.sample(range(len(made)), len(made)):
+        tried = [*made[:place], "z" + made[place] + "z", *made[place + 1 :]]
+        if jaccard(text, " ".join(tried)) < least:
+            break
+        made = tried
+    return " ".join(made)
+
+
+def test_near_copies_of_every_similarity_go(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(900)]
+    rows, copies, others = [], set(), set()
+    for n in range(240):
+        text = " ".join(draw.choices(words, k=draw.choice([150, 400])))
+        least = (0.80, 0.85, 0.90, 0.70)[n % 4]
+        near = copy_of(draw, text, least)
+        assert least <= jaccard(text, near) < least + 0.1
+        rows += [(2 * n, text), (2 * n + 1, near)]
+        (copies if jaccard(text, near) >= 0.8 else others).add(2 * n + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {row.doc_id for row in corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect()}
+    assert len(copies) >= 180
+    assert kept == {i for i, _ in rows} - copies
+
+
+def test_near_copies_of_odd_rows(spark):
+    rows = [(1, "one two"), (2, "ONE  two"), (3, "one three"), (4, ""), (5, None), (6, " "), (None, "one two"), (3, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    assert {row.doc_id for row in kept.collect()} == {1, 4, None}
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+def test_near_copies_of_a_large_group(spark):
+    draw = random.Random(12)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(900)]
+    base = " ".join(draw.choices(words, k=200))
+    texts = [copy_of(draw, base, 0.9) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate([base, *texts])), "doc_id long, text string")
+    assert [row.doc_id for row in corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect()] == [0]
