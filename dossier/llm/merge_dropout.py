@@ -3,11 +3,12 @@
 The merges of a SentencePiece model of the merge type run over an agenda: the pair
 with the highest score merges first, the leftmost among equals. With dropout, a
 candidate that reaches the head of the agenda is skipped when a hash, keyed by seed,
-variant, word, place and merged piece, falls below the rate; it stays skipped until
-one of its sides changes. Texts are cut before each run of spaces, which no piece
-crosses; the words of a chunk are encoded together, one agenda step of all words at
-a time, and words too long for that by a heap. Words at different places of a text
-use different variants, so that one word is cut in several ways.
+document, number of the word in its text, place and merged piece, falls below the
+rate; it stays skipped until one of its sides changes. So every occurrence of a word
+draws its own merges. Texts are cut before each run of spaces, which no piece crosses.
+The words of a chunk are encoded together, one agenda step of all words at a time:
+occurrences of a word share an agenda for as long as they have drawn alike, and it
+splits where some skip and others merge. Words too long for that go by a heap.
 
 Characters outside the vocabulary become byte pieces, so decoding gives back every
 text exactly, U+2581 included. The model's path is a parameter; the file is read on
@@ -35,12 +36,10 @@ from dossier.llm.common import chunks, table
 
 RATE = 0.1
 SEED = 42
-#: Segmentations that a word can get with one seed; a power of two.
-VARIANTS = 4
 #: Longer words are encoded by themselves, over a heap.
 LONG = 32
 CHUNK_BYTES = 8 << 20
-#: Rows of one step over all words.
+#: Occurrences whose words are encoded in one step over all words.
 ROWS = 1 << 16
 
 _WORDS = re.compile(r" *[^ ]+| +")
@@ -112,26 +111,45 @@ class Merges:
 
     def encode_words(self, words: list[str], keys: np.ndarray, rate: float) -> list[np.ndarray]:
         """Ids of each word; ``keys`` are the words' hash keys."""
-        out: list[np.ndarray | None] = [None] * len(words)
+        forms, form = self._encode_places(words, np.arange(len(words)), keys, rate)
+        return [forms[i] for i in form]
+
+    def _encode_places(self, words: list[str], at: np.ndarray, keys: np.ndarray, rate: float):
+        """Distinct results, and which of them each occurrence gets: the word's number, a hash key."""
+        forms: list[np.ndarray] = []
+        form = np.zeros(len(at), np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for i in np.flatnonzero(sizes > LONG):
-            out[i] = self._encode_long(words[i], int(keys[i]), rate)
         order = np.argsort(sizes, kind="stable")
-        order = order[sizes[order] <= LONG]
-        for first in range(0, len(order), ROWS):
-            rows = order[first : first + ROWS]
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        # Occurrences by word, the short words first.
+        by_word = np.argsort(rank[at], kind="stable")
+        ends = np.cumsum(np.bincount(rank[at], minlength=len(words)))
+        n_short = int(np.searchsorted(sizes[order], LONG, side="right"))
+        first = 0
+        while first < n_short:
+            begin = int(ends[first - 1]) if first else 0
+            last = max(first + 1, min(n_short, int(np.searchsorted(ends, begin + ROWS, side="right"))))
+            rows, mine = order[first:last], by_word[begin : ends[last - 1]]
             width = int(sizes[rows[-1]])
             joined = "".join(words[i].ljust(width, "\x00") for i in rows)
             codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).reshape(len(rows), width)
-            ids, starts, left = self._encode_block(codes, sizes[rows], keys[rows], rate)
-            strange = ((ids < 0) | (ids >= self.size)) & (np.arange(width) < left[:, None])
-            plain = ~strange.any(axis=1)
-            for n, row in enumerate(rows):
-                out[row] = ids[n, : left[n]]
-                if not plain[n]:
-                    places = starts[n, : left[n]].tolist()
-                    out[row] = self._with_bytes(words[row], out[row], places)
-        return out
+            for ids, starts, left, origin, who, node in self._encode_block(
+                codes, sizes[rows], rank[at[mine]] - first, keys[mine], rate
+            ):
+                form[mine[who]] = len(forms) + node
+                strange = ((ids < 0) | (ids >= self.size)) & (np.arange(width) < left[:, None])
+                plain = (~strange.any(axis=1)).tolist()
+                for n, size in enumerate(left.tolist()):
+                    found = ids[n, :size]
+                    if not plain[n]:
+                        found = self._with_bytes(words[rows[origin[n]]], found, starts[n, :size].tolist())
+                    forms.append(found)
+            first = last
+        for i in by_word[int(ends[n_short - 1]) if n_short else 0 :]:
+            form[i] = len(forms)
+            forms.append(self._encode_long(words[at[i]], int(keys[i]), rate))
+        return forms, form
 
     def _with_bytes(self, word: str, ids, places: list[int]) -> np.ndarray:
         """Symbols that are no pieces (always single characters) as their bytes."""
@@ -143,33 +161,55 @@ class Merges:
                 parts.append(self.byte_ids[np.frombuffer(word[place].encode(), np.uint8)])
         return np.concatenate(parts).astype(np.int32)
 
-    def _encode_block(self, codes, sizes, keys, rate):
-        """Agenda steps of many words at once: symbols, their places, symbols per word."""
+    def _encode_block(self, codes, sizes, node, keys, rate):
+        """Agenda steps of many words at once, for occurrences (row of ``codes``, hash key).
+
+        Yields what ends at a step: symbols, their places, symbols per result, row of
+        ``codes``; and the occurrences with the number of their result among those.
+        """
         n, width = codes.shape
         columns = np.arange(width)
         ids = np.where(columns < sizes[:, None], self.char_ids[codes], -1)
-        starts = np.broadcast_to(columns.astype(np.int32), ids.shape).copy()
-        left = sizes.copy()
+        starts = np.broadcast_to(columns.astype(np.int32), ids.shape)
+        left, origin, who = sizes, np.arange(n), np.arange(len(keys))
         if width < 2:
-            return ids, starts, left
+            yield ids, starts, left, origin, who, node
+            return
         piece, score = self.candidates(ids[:, :-1], ids[:, 1:])
-        out_ids, out_starts = ids, starts
-        live = np.flatnonzero((score > _NONE).any(axis=1))
-        ids, starts, piece, score, keys = ids[live], starts[live], piece[live], score[live], keys[live]
         limit = np.uint64(min(rate, 1.0) * float(1 << 53))
-        while len(live):
-            each = np.arange(len(live))
+        while len(ids):
+            each = np.arange(len(ids))
             best = score.argmax(axis=1)
-            new = piece[each, best]
             going = score[each, best] > _NONE
+            if not going.all():
+                ended, number = ~going, np.where(going, np.cumsum(going), np.cumsum(~going)) - 1
+                out = ended[node]
+                yield ids[ended], starts[ended], left[ended], origin[ended], who[out], number[node[out]]
+                ids, starts, left, origin, piece, score, best = (
+                    x[going] for x in (ids, starts, left, origin, piece, score, best)
+                )
+                node, who, keys = number[node[~out]], who[~out], keys[~out]
+                each = each[: len(ids)]
+                if not len(ids):
+                    return
+            new = piece[each, best]
             if rate > 0:
-                hashed = _mix(keys ^ _mix((starts[each, best].astype(np.uint64) << np.uint64(32)) | new.astype(np.uint64)))
-                skipped = going & ((hashed >> np.uint64(11)) < limit)
-                score[each[skipped], best[skipped]] = _NONE
-                merging = going & ~skipped
+                salt = _mix((starts[each, best].astype(np.uint64) << np.uint64(32)) | new.astype(np.uint64))
+                skips = (_mix(keys ^ salt[node]) >> np.uint64(11)) < limit
             else:
-                merging = going
-            rows = np.flatnonzero(merging)
+                skips = np.zeros(len(keys), bool)
+            # An agenda goes on as up to two: of those that skip and of those that merge.
+            code = node * 2 + skips
+            used = np.zeros(2 * len(ids), bool)
+            used[code] = True
+            node = (np.cumsum(used) - 1)[code]
+            code = np.flatnonzero(used)
+            parent, skipped = code >> 1, (code & 1).astype(bool)
+            ids, starts, left, origin, piece, score, best, new = (
+                x[parent] for x in (ids, starts, left, origin, piece, score, best, new)
+            )
+            score[skipped, best[skipped]] = _NONE
+            rows = np.flatnonzero(~skipped)
             if len(rows):
                 at = best[rows]
                 # Everything right of the merged pair moves one place to the left.
@@ -178,7 +218,7 @@ class Merges:
                 starts[rows] = np.take_along_axis(starts[rows], shift, axis=1)
                 ids[rows, width - 1] = -1
                 ids[rows, at] = new[rows]
-                left[live[rows]] -= 1
+                left[rows] -= 1
                 shift = np.minimum(columns[:-1] + (columns[:-1] > at[:, None]), width - 2)
                 piece[rows] = np.take_along_axis(piece[rows], shift, axis=1)
                 score[rows] = np.take_along_axis(score[rows], shift, axis=1)
@@ -187,12 +227,6 @@ class Merges:
                     ok = (side >= 0) & (side < width - 1)
                     r, c = rows[ok], side[ok]
                     piece[r, c], score[r, c] = self.candidates(ids[r, c], ids[r, c + 1])
-            done = ~going
-            if done.any():
-                out_ids[live[done]], out_starts[live[done]] = ids[done], starts[done]
-                stay = ~done
-                live, ids, starts, piece, score, keys = (x[stay] for x in (live, ids, starts, piece, score, keys))
-        return out_ids, out_starts, left
 
     def _encode_long(self, word: str, key: int, rate: float) -> np.ndarray:
         """The same agenda for one word, over a heap and linked symbols."""
@@ -230,27 +264,21 @@ class Merges:
         return self._with_bytes(word, kept, places)
 
     def encode(self, texts: list[str | None], keys: list[int], rate: float = RATE, seed: int = SEED) -> list[np.ndarray]:
-        """Ids of each text; ``keys`` choose where a text starts among the variants."""
-        known: list[dict[str, int]] = [{} for _ in range(VARIANTS)]
-        words: list[str] = []
-        kinds: list[int] = []
+        """Ids of each text; ``keys`` tell the texts' draws apart."""
+        known: dict[str, int] = {}
+        number = known.setdefault
         places: list[np.ndarray] = []
+        drawn: list[np.ndarray] = []
         for text, key in zip(texts, keys):
             cut = _WORDS.findall(" " + text) if text else []
-            first = _mix((key ^ seed) & _MASK) if rate > 0 else 0
-            found = []
-            for i, word in enumerate(cut):
-                kind = (first + i) % VARIANTS if rate > 0 else 0
-                place = known[kind].get(word)
-                if place is None:
-                    place = known[kind][word] = len(words)
-                    words.append(word)
-                    kinds.append(kind)
-                found.append(place)
-            places.append(np.array(found, np.int64))
-        if not words:
+            places.append(np.array([number(word, len(known)) for word in cut], np.int64))
+            first = np.uint64(_mix((_mix(key & _MASK) + seed) & _MASK))
+            drawn.append(first + np.arange(len(cut), dtype=np.uint64))
+        if not known:
             return [np.zeros(0, np.int32) for _ in texts]
-        encoded = self.encode_words(words, self._keys(words, kinds, seed), rate)
+        ends = np.cumsum([len(found) for found in places])
+        encoded, form = self._encode_places(list(known), np.concatenate(places), _mix(np.concatenate(drawn)), rate)
+        places = np.split(form, ends[:-1])
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.concatenate(encoded)
         offsets = np.cumsum(sizes) - sizes

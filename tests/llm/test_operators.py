@@ -490,6 +490,23 @@ def test_both_agendas_agree():
         assert model._encode_long(word, int(key), 0.3).tolist() == ids.tolist()
 
 
+def test_every_occurrence_of_a_word_draws_its_own_merges():
+    model = merge_dropout.merges(merge_dropout.model_path())
+    word = " international"
+    plain = tuple(model.encode_words([word], np.zeros(1, np.uint64), 0.0)[0].tolist())
+    texts, keys = [word[1:]] * 3000, list(range(3000))
+    seen = Counter(tuple(ids.tolist()) for ids in model.encode(texts, keys, rate=0.1))
+    drawn = np.random.default_rng(1).integers(0, 1 << 63, 3000, np.uint64)
+    expected = sum(tuple(model._encode_long(word, int(key), 0.1).tolist()) != plain for key in drawn)
+    assert len(seen) > 4 and abs(3000 - seen[plain] - expected) < 200
+    repeated = model.encode([" ".join(texts)], [7], rate=0.1)[0]
+    assert model.decode(repeated) == " ".join(texts)
+    places = [" " + text for text in texts]
+    first = np.uint64(merge_dropout._mix((merge_dropout._mix(7) + merge_dropout.SEED) & ((1 << 64) - 1)))
+    own = merge_dropout._mix(first + np.arange(3000, dtype=np.uint64))
+    assert repeated.tolist() == [x for place, key in zip(places, own) for x in model._encode_long(place, int(key), 0.1)]
+
+
 # --- quality classifier ----------------------------------------------------------
 
 
