@@ -7,10 +7,11 @@ keyed by free space to find the bin that fits best, and the fullest bin closes w
 there are too many. Inside a group the longest pieces come first, so that short ones
 fill what long ones leave. A group wastes at most its last open bins.
 
-Ids: those of the byte-level vocabulary, special tokens' strings taken as ordinary
-text. They are computed from the vocabulary's rank table, which gives the same ids
-as its ``tokenizers`` file at about four times the speed (README has the figures;
-tests compare both).
+Ids: those of the byte-level vocabulary's ``tokenizers`` file. They are computed from
+its rank table, which gives the same ids at about four times the speed (README has the
+figures; tests compare both). The query and the pipeline read the strings of the file's
+special tokens as these tokens, like the file as loaded; without ``special`` the strings
+are ordinary text.
 
 Defined results: a null text counts as empty, which is one piece with the end token
 alone; equal pieces are packed in order of id and piece; repeated rows are packed
@@ -21,6 +22,7 @@ than ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -56,12 +58,18 @@ PATTERN = (
 
 
 @lru_cache(maxsize=2)
-def encoder(ranks_file: str):
+def encoder(ranks_file: str, special_file: str | None = None):
     import tiktoken
 
+    special = {}
+    if special_file:
+        with open(special_file, encoding="utf-8") as described:
+            added = json.load(described)["added_tokens"]
+        special = {token["content"]: token["id"] for token in added}
+
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def ranks_path() -> str:
@@ -71,6 +79,13 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def special_path() -> str:
+    """The file that names the vocabulary's special tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def cut(n: int, length: int = LENGTH) -> list[int]:
     """Lengths of a document's pieces; only the first may be shorter than ``length``."""
     if n <= length:
@@ -79,15 +94,18 @@ def cut(n: int, length: int = LENGTH) -> list[int]:
     return [first] * (first > 0) + [length] * (n // length)
 
 
-def token_pieces(docs: DataFrame, length: int = LENGTH, end: int = END, ranks_file: str | None = None) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, length: int = LENGTH, end: int = END, ranks_file: str | None = None, special: bool = False
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_file or ranks_path()).encode_to_numpy
+        encode = encoder(ranks_file or ranks_path(), special_path() if special else None).encode_to_numpy
+        allowed = "all" if special else set()
         for chunk in chunks(batches, "text", CHUNK_BYTES):
             rows = ([], [], [], [], [])
             for doc_id, text in zip(chunk["doc_id"].to_pylist(), chunk["text"].to_pylist()):
-                ids = np.append(encode(text or "", disallowed_special=()), end).astype("<u4")
+                ids = np.append(encode(text or "", allowed_special=allowed, disallowed_special=()), end).astype("<u4")
                 start = 0
                 for piece, size in enumerate(cut(len(ids), length)):
                     crc = zlib.crc32(ids[start : start + size].tobytes())
@@ -161,9 +179,11 @@ def pack(pieces: DataFrame, capacity: int = LENGTH, open_bins: int = OPEN_BINS)
     )
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, end: int = END, open_bins: int = OPEN_BINS) -> DataFrame:
-    return pack(token_pieces(docs, length, end), length, open_bins)
+def pack_documents(
+    docs: DataFrame, length: int = LENGTH, end: int = END, open_bins: int = OPEN_BINS, special: bool = False
+) -> DataFrame:
+    return pack(token_pieces(docs, length, end, special=special), length, open_bins)
 
 
 def op4_best_fit_packing(spark, sf_dir) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), special=True)

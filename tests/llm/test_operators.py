@@ -163,6 +163,24 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_reads_special_tokens_like_the_tokenizer_as_loaded(spark, tmp_path):
+    from tokenizers import Tokenizer
+    import corpus_pipeline
+    import public_tokenizers
+
+    rows = list(enumerate(["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n y <|endoftext", "plain  "]))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = set()
+    for i, text in rows:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        expected.add((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for packed in (
+        packing.op4_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs(spark, rows), ""),
+    ):
+        assert {(r.doc_id, r.length, r.ids_crc32) for r in packed.collect()} == expected
+
+
 @pytest.mark.parametrize("open_bins", [3, 1000])
 def test_best_fit_equals_a_plain_search(open_bins):
     draw = random.Random(4)
