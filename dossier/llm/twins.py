@@ -72,8 +72,60 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   CASE WHEN rate >= 0.8 THEN 'bad' WHEN rate >= 0.5 THEN 'suspect' ELSE 'good' END AS host_verdict
 FROM judged JOIN verdicts USING (host_name)"""
 
+# crc32 of the id's digits, bit by bit; words of every tenth text repeat up to its end.
+PERIODIC_RUNS = r"""
+WITH texts AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS d, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+hashed AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, xor(4294967295, list_reduce(
+    list_transform(range(8 * length(d)), lambda k: CASE WHEN k % 8 = 0 THEN CAST(ascii(d[k // 8 + 1]) AS BIGINT) ELSE 0 END),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), CAST(4294967295 AS BIGINT))) AS h FROM texts),
+placed AS (SELECT *, h // 10 % greatest(n, 1) AS a, 1 + (n - h // 10 % greatest(n, 1)) // (3 + h // 10 % 8) AS p FROM hashed),
+given AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END]) AS w
+  FROM placed),
+places AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS gram FROM (SELECT *, unnest(range(n - 4)) AS i FROM given WHERE n > 4)),
+met AS (SELECT x.doc_id, x.i, x.i - y.i AS lag FROM places x JOIN places y USING (doc_id, gram) WHERE y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM met),
+stretches AS (SELECT doc_id, lag, min(i) - lag AS start, max(i) + 5 - min(i) + lag AS length FROM islands GROUP BY doc_id, lag, island),
+runs AS (SELECT doc_id, start, length, min(lag) AS period FROM stretches WHERE length >= greatest(6, 4 * lag) GROUP BY doc_id, start, length),
+totals AS (SELECT doc_id, count(*) AS n_runs, arg_max({'s': start, 'n': length, 'p': period}, (length, -start, -period)) AS best,
+  string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id),
+word AS (SELECT doc_id, i, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(n)) AS i FROM given)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM word
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = word.doc_id AND i >= r.start + r.period AND i < r.start + r.length) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.n AS length, best.p AS period, 1000 * best.n // best.p AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM given LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+# One pair of tables per round: vectors with their centroid, and the centroids they move.
+_DISTANCE = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+_ASSIGNED = (
+    "a{0} AS MATERIALIZED (SELECT vec_id, v.x, min({{'distance': %s, 'cluster': c.cluster}}) AS best "
+    "FROM v, c{0} c GROUP BY vec_id, v.x)" % _DISTANCE
+)
+_MOVED = """c{1} AS MATERIALIZED (SELECT cluster, coalesce(m.x, c.x) AS x FROM c{0} c LEFT JOIN (
+  SELECT cluster, list((total - (total % n + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT cluster, i, sum(y) AS total, count(*) AS n FROM (
+      SELECT best.cluster, unnest(x) AS y, unnest(range(64)) AS i FROM a{0}) GROUP BY cluster, i) GROUP BY cluster) m USING (cluster))"""
+CENTROID_CLUSTERS = (
+    """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('2:', vec_id))) - 1 AS cluster, x FROM v
+  QUALIFY cluster < 40),
+"""
+    + ",\n".join(part.format(n, n + 1) for n in range(5) for part in (_ASSIGNED, _MOVED))
+    + ",\n"
+    + _ASSIGNED.format(5)
+    + """
+SELECT vec_id, CAST(best.cluster AS INTEGER) AS cluster, CAST(best.distance AS BIGINT) AS distance,
+  CAST(sum(best.distance) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.cluster = best.cluster"""
+)
+
 SQL = {
     "op1_license_scan": LICENSE_SCAN,
     "op2_suffix_dedup": SUFFIX_DEDUP,
     "op10_quality_rules": QUALITY_RULES,
+    "op11_periodic_runs": PERIODIC_RUNS,
+    "op13_centroid_clusters": CENTROID_CLUSTERS,
 }
