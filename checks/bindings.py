@@ -173,20 +173,20 @@ SELECT concat('doc_', doc_id) AS document_id,
     WHEN 0 THEN concat('```json', chr(10), body, chr(10), '```')
     WHEN 1 THEN concat('Here is the JSON: ', body, ' done')
     WHEN 2 THEN concat(body, ' trailing')
-    WHEN 3 THEN '{"document_type": "invoice", "fields": []}'
-    WHEN 4 THEN '{"document_type": "pan", "fields": null}'
-    WHEN 5 THEN CAST(NULL AS STRING)
+    WHEN 3 THEN concat('{"document_type": "invoice", "summary": ', told, ', "fields": []}')
+    WHEN 4 THEN concat('{"document_type": "pan", "fields": null, "summary": ', told, '}')
+    WHEN 5 THEN concat('I could not read this: ', text)
     WHEN 6 THEN CAST(NULL AS STRING)
-    WHEN 7 THEN '{"fields": [{"field": "x", "value": 0, "confidence": 0, "required": null}]}'
-    WHEN 9 THEN '{"fields": [{"key": "mobile", "value": "9841000000", "bbox": [1.5, 2, 3, 4]}]}'
+    WHEN 7 THEN concat('{"fields": [{"field": "x", "value": 0, "confidence": 0, "required": null, "evidence_text": ', told, '}]}')
+    WHEN 9 THEN concat('{"fields": [{"key": "mobile", "value": "9841000000", "evidence_text": ', told, ', "bbox": [1.5, 2, 3, 4]}]}')
     WHEN 10 THEN concat('{"document_type":"cheque","fields":[{"key":"amount","label":"","value":"', doc_id,
       '.5","confidence":"0.9","source_page":"2","bbox":[]},{"key":"amount","value":"Rs ', doc_id,
-      '","required":false,"evidence_text":"seen"}],"findings":""}')
-    WHEN 11 THEN '{"document_type": "", "summary": "empty", "fields": {}, "findings": []}'
+      '","required":false,"evidence_text":', told, '}],"findings":""}')
+    WHEN 11 THEN concat('{"document_type": "", "summary": ', told, ', "fields": {}, "findings": []}')
     ELSE body END AS content,
-  CASE WHEN doc_id % 13 = 6 THEN 'timeout' ELSE CAST(NULL AS STRING) END AS error,
+  CASE WHEN doc_id % 13 = 6 THEN concat('timeout after ', text) ELSE CAST(NULL AS STRING) END AS error,
   1 AS response_seq
-FROM (SELECT doc_id, concat('{"document_type":"citizenship","summary":"s","fields":[{"key":"full_name","value":"N', doc_id,
+FROM (SELECT doc_id, text, {json(text)} AS told, concat('{"document_type":"citizenship","summary":"s","fields":[{"key":"full_name","value":"N', doc_id,
   '","confidence":', CAST(CAST(doc_id % 1000 AS DECIMAL(10,3)) / 1000 AS DECIMAL(10,3)),
   ',"source_page":1,"evidence_text":', {json(text)}, ',"bbox":[1,2,3,4]}],"findings":[{"code":"needs_review","field_key":"full_name"}]}') AS body
   FROM documents) d

@@ -34,9 +34,6 @@ _PLAIN_LIST = r'^\[[^"{]*\]$'
 # Text that Python's float() and int() read as a number, digits being ASCII ones.
 _FLOAT_TEXT = r"(?i)\A[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?|nan)\z"
 _INT_TEXT = r"\A[+-]?\d+\z"
-# Beyond 64 bits, doubles being exact up to this.
-_INT_LIMIT = 9223372036854775808.0
-
 _FIELD_MEMBERS = (
     "key",
     "field",
@@ -130,6 +127,14 @@ def _number(member: Column) -> Column:
     )
 
 
+def _whole(member: Column) -> Column:
+    """``int(...)`` of the member as a long: all digits of whole numbers, cut-off fractions."""
+    text = ascii_digits(strip(member["text"]))
+    return F.when(text.rlike(_INT_TEXT), text.try_cast("decimal(38,0)").try_cast("long")).otherwise(
+        _number(member).try_cast("long")
+    )
+
+
 def _unconvertible(member: Column, text_pattern: str) -> Column:
     """A list, an object, or text that does not read as a number."""
     bad_text = (_kind(member) == '"') & ~ascii_digits(strip(member["text"])).rlike(text_pattern)
@@ -147,6 +152,8 @@ def _read_field(item: Column) -> Column:
         (F.left(F.to_json(item), F.lit(1)) == "{").alias("is_object"),
         _members(item, _FIELD_MEMBERS).alias("has"),
         F.try_variant_get(item, "$.bbox", "array<double>").alias("edges"),
+        # The same with all digits.
+        F.try_variant_get(item, "$.bbox", "array<decimal(38,18)>").alias("exact"),
     )
 
 
@@ -161,10 +168,11 @@ def _field_fault(read: Column) -> Column:
     """Why the field cannot be accepted, null when it can."""
     has = read["has"]
     page, box = has["source_page"], has["bbox"]
-    too_large = _truthy(page) & ~(F.abs(_number(page)) < _INT_LIMIT)
-    whole_numbers = F.forall(
-        read["edges"],
-        lambda edge: edge.isNotNull() & (edge == F.floor(edge)) & (F.abs(edge) < _INT_LIMIT),
+    too_large = _truthy(page) & _whole(page).isNull()
+    # Fractions too small for the exact form are seen in the other one.
+    whole_numbers = F.forall(read["edges"], lambda edge: edge.isNotNull() & (edge == F.floor(edge)))
+    exactly_whole = F.forall(
+        read["exact"], lambda edge: (edge == F.floor(edge)) & edge.try_cast("bigint").isNotNull()
     )
     return (
         F.when(~read["is_object"], "a field is not an object")
@@ -173,7 +181,7 @@ def _field_fault(read: Column) -> Column:
         )
         .when(_unconvertible(has["confidence"], _FLOAT_TEXT), "confidence is not a number")
         .when(
-            (_kind(box) == "[") & ~F.coalesce(whole_numbers, F.lit(False)),
+            (_kind(box) == "[") & ~F.coalesce(whole_numbers & exactly_whole, F.lit(False)),
             "bbox is not a list of integers",
         )
     )
@@ -199,7 +207,7 @@ def _list_fault(member: Column, name: str, items: Column, item_fault) -> Column:
 def _unrounded_field(read: Column) -> Column:
     has = read["has"]
     page, confidence, required = has["source_page"], has["confidence"], has["required"]
-    bbox = F.when(_kind(has["bbox"]) == "[", read["edges"].try_cast("array<bigint>"))
+    bbox = F.when(_kind(has["bbox"]) == "[", read["exact"].try_cast("array<bigint>"))
     value = _text_or(has["value"], "")
     return F.struct(
         _text_or(has["key"], _text_or(has["field"], DEFAULT_KEY)).alias("key"),
@@ -208,7 +216,7 @@ def _unrounded_field(read: Column) -> Column:
         F.when(_truthy(confidence), _number(confidence)).otherwise(0.0).alias("confidence"),
         (required["json"].isNull() | _truthy(required)).alias("required"),
         bbox.alias("bbox"),
-        F.when(_truthy(page), _number(page).try_cast("long")).otherwise(1).alias("source_page"),
+        F.when(_truthy(page), _whole(page)).otherwise(1).alias("source_page"),
         _text_or(has["evidence_text"], value).alias("evidence_text"),
     )
 

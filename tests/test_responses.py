@@ -41,6 +41,10 @@ RESPONSES_SEEN = {
     '{"fields":[{"source_page":2.7}]}': True,
     '{"fields":[{"source_page":1e12}]}': True,
     '{"fields":[{"source_page":1e20}]}': False,
+    '{"fields":[{"source_page":9223372036854775807}]}': True,
+    '{"fields":[{"source_page":9223372036854775808}]}': False,
+    '{"fields":[{"bbox":[9223372036854775808]}]}': False,
+    '{"fields":[{"bbox":[1e300]}]}': False,
     "[1]": False,
     "": False,
     "not json": False,
@@ -145,3 +149,18 @@ def test_cleaning(spark):
     rows = spark.createDataFrame([(t,) for t in expected], "t string")
     for row in rows.select("t", clean_response(F.col("t")).alias("c")).collect():
         assert row.c == expected[row.t], row.t
+
+
+def test_whole_numbers_keep_all_digits(spark):
+    big = 9007199254740993
+    content = f'{{"fields":[{{"source_page":{big},"bbox":[{big},-{big},9223372036854775807]}},{{"source_page":"{big}"}}]}}'
+    row = _parse(spark, [content])[content]
+    assert [field.source_page for field in row.fields] == [big, big]
+    assert row.fields[0].bbox == [big, -big, 9223372036854775807]
+
+
+def test_responses_without_text(spark):
+    """Shapes that hold no text of the document."""
+    rows = [("0", None, None), ("1", None, "timeout"), ("2", '{"document_type": "invoice", "fields": []}', None)]
+    got = {r.document_id: (r.outcome, r.failure) for r in parse_responses(spark.createDataFrame(rows, RESPONSES)).collect()}
+    assert got == {"0": ("no_response", None), "1": ("failed", "timeout"), "2": ("failed", "unknown document type invoice")}
