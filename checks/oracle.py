@@ -449,6 +449,7 @@ SELECT document_id, block_index, 80.0::DOUBLE / 1000 * 100 AS box_left, top::DOU
     "unknown_case_uploads": """
 SELECT document_id, case_id FROM b_uploads WHERE case_id NOT IN (SELECT case_id FROM o_cases)""",
     "rule_extraction": _RULE_FIELDS + " WHERE value <> ''",
+    "rule_table_extraction": _RULE_FIELDS,
     "missing_name_fields": _RULE_FIELDS + " WHERE value = ''",
     "clean_model_responses": "SELECT document_id, cleaned FROM o_clean",
     "parse_model_fields": """
@@ -515,7 +516,8 @@ FROM b_case_reviews WHERE event_seq % 14 = 1 OR event_seq % 14 = 3""",
     "duplicate_responses": """
 SELECT document_id, count(*) AS responses FROM b_responses GROUP BY document_id HAVING count(*) > 1""",
     "list_documents": f"""
-SELECT document_id, filename, strftime(created_at, '{AT}') AS created_at FROM o_records""",
+SELECT row_number() OVER (ORDER BY r.created_at DESC, document_id) AS place, document_id, filename,
+  strftime(created_at, '{AT}') AS created_at FROM o_records r""",
     "document_lookup": """
 SELECT DISTINCT v.document_id, r.filename, r.document_id IS NOT NULL AS found
 FROM b_document_reviews v LEFT JOIN o_records r USING (document_id)""",
@@ -582,6 +584,9 @@ SELECT document_id, 'fields' AS section, -1 AS event_seq, field_seq AS sub_seq,
     "audit_trail": f"SELECT * REPLACE (strftime(created_at, '{AT}') AS created_at) FROM o_audit",
     "document_audit_trail": f"""
 SELECT * REPLACE (strftime(created_at, '{AT}') AS created_at) FROM o_record_audit""",
+    "audit_readback": f"""
+SELECT row_number() OVER (ORDER BY a.created_at, target_id, event_seq, sub_seq, action, actor, note) AS place,
+  * REPLACE (strftime(created_at, '{AT}') AS created_at) FROM o_record_audit a""",
     "case_metrics": """
 SELECT count(*) AS cases, CAST(count_if(status = 'review_required') AS BIGINT) AS review,
   CAST(count_if(status = 'approved') AS BIGINT) AS approved,
@@ -589,7 +594,8 @@ SELECT count(*) AS cases, CAST(count_if(status = 'review_required') AS BIGINT) A
     "documents_per_case": """
 SELECT case_id, (SELECT count(*) FROM b_uploads u WHERE u.case_id = c.case_id) AS documents FROM o_cases c""",
     "list_cases": f"""
-SELECT case_id, strftime(created_at, '{AT}') AS created_at FROM o_cases ORDER BY o_cases.created_at DESC, case_seq""",
+SELECT row_number() OVER (ORDER BY c.created_at DESC, case_seq) AS place, case_id,
+  strftime(created_at, '{AT}') AS created_at FROM o_cases c""",
     "selected_case": """
 SELECT case_id, applicant_name FROM o_cases ORDER BY created_at DESC, case_seq LIMIT 1""",
     "first_document_page": """
@@ -609,7 +615,10 @@ SELECT concat(document_id, '/', field_seq) AS field_id, label,
 # The streams must end with what the batch gives.
 FINALS["stream_blocks"] = FINALS["ocr_blocks"]
 FINALS["stream_fields"] = FINALS["finalize_fields"]
+FINALS["stream_late_responses"] = FINALS["finalize_fields"]
+FINALS["stream_findings"] = FINALS["document_findings"]
 FINALS["stream_reviews"] = FINALS["case_review_fields"]
+FINALS["stream_chain"] = FINALS["case_review_fields"]
 FINALS["stream_status"] = FINALS["case_review_state"]
 FINALS["stream_document_reviews"] = FINALS["document_review_fields"]
 FINALS["stream_audit"] = f"""

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from checks.bindings import Inputs
 from dossier.functions.scoring import overall_confidence, route
 from dossier.functions.validation import validate
-from dossier.operators import audit, cases, exports, intake, prompts, reviews
+from dossier.operators import audit, cases, exports, intake, prompts, reviews, rule_table
 from dossier.operators import blocks as ocr
 from dossier.operators import responses as model
 from dossier.operators import template_fields as by_template
 from dossier.plans import processing
 from dossier.plans.records import read_by_template
 from dossier.session import checkpoint_root, configure, materialise
-from dossier.sources.readers import named
+from dossier.sources.readers import named, read_audit
 from dossier.sources.templates import template_lookup, templates, without_template
+from dossier.sources.writers import append_audit
 from dossier.streaming import reviews as review_stream
 from dossier.streaming import uploads as upload_stream
 
@@ -217,6 +218,12 @@ def rule_extraction(f: Flows) -> DataFrame:
     return _flat_fields(processing.document_fields(f.rule_documents)).filter(F.col("value") != "")
 
 
+def rule_table_extraction(f: Flows) -> DataFrame:
+    """The same by the rules as a table."""
+    documents = processing.process_by_rule_table(f.uploads, f.cases, rule_table.rule_table(f.spark))
+    return _flat_fields(processing.document_fields(documents))
+
+
 def missing_name_fields(f: Flows) -> DataFrame:
     return _flat_fields(processing.document_fields(f.rule_documents)).filter(F.col("value") == "")
 
@@ -388,7 +395,7 @@ def document_lookup(f: Flows) -> DataFrame:
 
 def list_documents(f: Flows) -> DataFrame:
     rows = cases.newest_first(f.template_run.records, "document_id")
-    return rows.select("document_id", "filename", _moment("created_at"))
+    return rows.select("place", "document_id", "filename", _moment("created_at"))
 
 
 def review_decisions(f: Flows) -> DataFrame:
@@ -581,6 +588,15 @@ def document_audit_trail(f: Flows) -> DataFrame:
     return _flat_audit(f.record_audit)
 
 
+def audit_readback(f: Flows) -> DataFrame:
+    """Two runs' rows appended, then read back in order."""
+    path = _stream_folder(f.spark)
+    append_audit(f.record_audit.filter("event_seq < 0"), path, "uploads")
+    append_audit(f.record_audit.filter("event_seq >= 0"), path, "reviews")
+    rows = read_audit(f.spark, path)
+    return rows.select("place", "target_id", "event_seq", "sub_seq", "action", "actor", "note", _moment("created_at"))
+
+
 # --- listings and figures -----------------------------------------------------
 
 
@@ -594,7 +610,7 @@ def documents_per_case(f: Flows) -> DataFrame:
 
 
 def list_cases(f: Flows) -> DataFrame:
-    return cases.newest_first(f.cases, "case_seq").select("case_id", _moment("created_at"))
+    return cases.newest_first(f.cases, "case_seq").select("place", "case_id", _moment("created_at"))
 
 
 def selected_case(f: Flows) -> DataFrame:
@@ -650,31 +666,90 @@ def stream_fields(f: Flows) -> DataFrame:
     return _flat_fields(upload_stream.streamed(f.spark, folder, "fields"))
 
 
-def stream_reviews(f: Flows) -> DataFrame:
+def stream_late_responses(f: Flows) -> DataFrame:
+    """Answers 0 to 120 minutes after their upload, of which 60 are waited for."""
     folder = _stream_folder(f.spark)
-    fields = materialise(processing.document_fields(f.documents), "fields")
-    review_stream.stream_reviews(
-        _arriving(f.known_reviews, folder), fields, folder, f"{folder}/state-of-query"
+    at = F.col("uploaded_at").cast("timestamp")
+    asked = f.uploads.select("document_id", at.alias("asked_at"))
+    lag = F.pmod(F.xxhash64("document_id"), F.lit(7)) * 20
+    answers = f.responses.join(asked, "document_id").withColumn(
+        "responded_at", F.col("asked_at") + F.make_interval(mins=lag.cast("int"))
+    ).drop("asked_at")
+    # The last event moves both watermarks past everything; its case is unknown.
+    end = F.lit("2034-01-01 00:00:00")
+    last_upload = f.uploads.limit(1).withColumns(
+        {"document_id": F.lit("end"), "case_id": F.lit("end"), "uploaded_at": end.cast("timestamp_ntz")}
+    )
+    last_answer = answers.limit(1).withColumns({"document_id": F.lit("end"), "responded_at": end.cast("timestamp")})
+    uploads = _in_time(f.uploads, last_upload, "uploaded_at", folder, "uploads")
+    answers = _in_time(answers, last_answer, "responded_at", folder, "answers")
+    upload_stream.stream_answered_documents(
+        uploads, answers, f.cases, folder, f"{folder}/state", wait="60 minutes"
     ).awaitTermination()
-    return _flat_fields(review_stream.reviewed_fields(f.spark, fields, folder), "event_seq")
+    return _flat_fields(upload_stream.corrected(f.spark, folder, "fields"))
+
+
+def _in_time(table: DataFrame, last: DataFrame, at: str, folder: str, name: str) -> DataFrame:
+    """The table as a stream in order of time, in two files, and then ``last``."""
+    table.repartitionByRange(2, at).write.parquet(f"{folder}/{name}")
+    last.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    files = table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+    return files.parquet(f"{folder}/{name}")
 
 
-def _case_review_folder(f: Flows) -> str:
+def stream_chain(f: Flows) -> DataFrame:
+    """Uploads, reviews, uploads, reviews: half of each at a time, whatever their order."""
     folder = _stream_folder(f.spark)
-    fields = materialise(processing.document_fields(f.documents), "fields")
+    fields = f"{folder}/uploaded/fields"
+    early = F.pmod(F.xxhash64("document_id"), F.lit(2)) == 0
+    for first in (True, False):
+        for rows, name in ((f.uploads, "uploads"), (f.known_reviews, "reviews")):
+            half = early if name == "uploads" else F.pmod(F.xxhash64("event_seq"), F.lit(2)) == 0
+            rows.filter(half == first).write.mode("append").parquet(f"{folder}/{name}")
+        uploads, found = (
+            f.spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}")
+            for rows, name in ((f.uploads, "uploads"), (f.known_reviews, "reviews"))
+        )
+        upload_stream.stream_documents(
+            uploads, f.cases, f"{folder}/uploaded", f"{folder}/state-of-uploads", f.responses
+        ).awaitTermination()
+        review_stream.stream_reviews(
+            found, fields, f"{folder}/reviewed", f"{folder}/state-of-reviews", tables=("changes",)
+        ).awaitTermination()
+    streamed = upload_stream.streamed(f.spark, f"{folder}/uploaded", "fields")
+    return _flat_fields(review_stream.reviewed_fields(f.spark, streamed, f"{folder}/reviewed"), "event_seq")
+
+
+def stream_findings(f: Flows) -> DataFrame:
+    folder = _stream_folder(f.spark)
+    upload_stream.stream_documents(
+        _arriving(f.uploads, folder), f.cases, folder, f"{folder}/state", f.responses
+    ).awaitTermination()
+    return upload_stream.streamed(f.spark, folder, "findings").drop("event_seq")
+
+
+def _reviewed(f: Flows, *tables: str) -> tuple[str, DataFrame]:
+    """Folder of a stream of reviews that keeps these tables, and the fields it began with."""
+    folder = _stream_folder(f.spark)
+    fields = materialise(processing.document_fields(f.documents), "fields") if "changes" in tables else None
     review_stream.stream_reviews(
-        _arriving(f.known_reviews, folder), fields, folder, f"{folder}/state-of-query"
+        _arriving(f.known_reviews, folder), fields, folder, f"{folder}/state-of-query", tables=tables
     ).awaitTermination()
-    return folder
+    return folder, fields
+
+
+def stream_reviews(f: Flows) -> DataFrame:
+    folder, fields = _reviewed(f, "changes")
+    return _flat_fields(review_stream.reviewed_fields(f.spark, fields, folder), "event_seq")
 
 
 def stream_status(f: Flows) -> DataFrame:
-    state = review_stream.last_decisions(f.spark, _case_review_folder(f))
+    state = review_stream.last_decisions(f.spark, _reviewed(f, "decisions")[0])
     return state.select("case_id", "reviewer", "note", _moment("reviewed_at"), "status_after")
 
 
 def stream_audit(f: Flows) -> DataFrame:
-    return _flat_audit(review_stream.review_audit(f.spark, _case_review_folder(f)))
+    return _flat_audit(review_stream.review_audit(f.spark, _reviewed(f, "audit")[0]))
 
 
 def stream_document_reviews(f: Flows) -> DataFrame:
@@ -682,7 +757,7 @@ def stream_document_reviews(f: Flows) -> DataFrame:
     fields = materialise(f.template_run.fields, "fields")
     arriving = _arriving(f.document_reviews, folder)
     review_stream.stream_reviews(
-        arriving, fields, folder, f"{folder}/state-of-query", target="document_id"
+        arriving, fields, folder, f"{folder}/state-of-query", target="document_id", tables=("changes",)
     ).awaitTermination()
     return review_stream.reviewed_fields(f.spark, fields, folder, "document_id").select(
         "document_id", "key", "value", "confidence", "source", "validation_status", "validation_message"
@@ -699,6 +774,7 @@ QUERIES = {
     "infer_document_type": infer_document_type,
     "unknown_case_uploads": unknown_case_uploads,
     "rule_extraction": rule_extraction,
+    "rule_table_extraction": rule_table_extraction,
     "missing_name_fields": missing_name_fields,
     "duplicate_responses": duplicate_responses,
     "clean_model_responses": clean_model_responses,
@@ -739,6 +815,7 @@ QUERIES = {
     "document_export": document_export,
     "audit_trail": audit_trail,
     "document_audit_trail": document_audit_trail,
+    "audit_readback": audit_readback,
     "case_metrics": case_metrics,
     "documents_per_case": documents_per_case,
     "list_cases": list_cases,
@@ -748,6 +825,9 @@ QUERIES = {
     "field_cards": field_cards,
     "stream_blocks": stream_blocks,
     "stream_fields": stream_fields,
+    "stream_findings": stream_findings,
+    "stream_late_responses": stream_late_responses,
+    "stream_chain": stream_chain,
     "stream_reviews": stream_reviews,
     "stream_status": stream_status,
     "stream_audit": stream_audit,

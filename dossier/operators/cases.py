@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.order import in_order
 from dossier.functions.rounding import percent
 from dossier.functions.scoring import decided_status
 from dossier.functions.text import labelize
@@ -78,8 +79,11 @@ def lookup(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, Dat
 
 
 def newest_first(rows: DataFrame, sequence: str) -> DataFrame:
-    """By creation time, newest first; equal times keep their order of insertion."""
-    return rows.orderBy(F.desc("created_at"), F.asc(sequence))
+    """By creation time, newest first, with the place in that order.
+
+    Equal times keep their order of insertion.
+    """
+    return in_order(rows, F.desc("created_at"), F.asc(sequence))
 
 
 def selected_case(cases: DataFrame, case_id: str | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.scoring import decided_action, decided_status
@@ -14,9 +16,12 @@ from dossier.schemas import (
     FIELD_COLUMNS,
     GENERIC_DOCUMENT_TYPE,
 )
+from dossier.session import materialise
 
-# Events of one (case, key) that are put in order by one task, about.
+# Events, of all cases, in one stretch of time: no (case, key) has more to put in order.
 BUCKET_ROWS = 1 << 20
+# Equal cells in which events are counted to find these stretches.
+CELLS = 1 << 10
 
 # How reviewed fields are marked.
 REVIEWER = "reviewer"
@@ -39,134 +44,133 @@ def mentions(reviews: DataFrame, target: str = "case_id") -> DataFrame:
     )
 
 
-def _timeline(fields: DataFrame, reviews: DataFrame, bucket_rows: int) -> DataFrame:
-    """Arrivals and mentions of the keys that reviews name, in buckets of time.
-
-    Buckets divide the stretch between a (case, key)'s first and last event into
-    as many equal pieces as it has ``bucket_rows`` events, so they do not depend on
-    the unit of the sequence numbers. Places are total: equal numbers are told
-    apart by kind, document and the place within it.
-    """
-    mentioned = mentions(reviews).select(
-        "case_id",
-        "key",
-        F.struct(
-            "event_seq",
-            F.lit(1).alias("kind"),
-            F.lit("").alias("document_id"),
-            F.col("mention_seq").alias("sub_seq"),
-        ).alias("place"),
-        F.lit(None).cast("string").alias("field_id"),
-        "value",
-    )
-    named = mentioned.select("case_id", "key").distinct()
-    arrived = fields.join(named, ["case_id", "key"], "left_semi").select(
-        "case_id",
-        "key",
-        F.struct(
-            "event_seq",
-            F.lit(0).alias("kind"),
-            F.coalesce("document_id", F.lit("")).alias("document_id"),
-            F.col("field_seq").alias("sub_seq"),
-        ).alias("place"),
-        "field_id",
-        F.lit(None).cast("string").alias("value"),
-    )
-    events = arrived.unionByName(mentioned)
-    seq = F.col("place.event_seq")
-    sizes = events.groupBy("case_id", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min(seq).alias("low"), F.max(seq).alias("high")
+def arrivals(fields: DataFrame, *kept: str) -> DataFrame:
+    """What the fold reads of fields: whose they are, their key, and when they came."""
+    place = F.struct(
+        "event_seq",
+        F.lit(0).alias("kind"),
+        F.coalesce("document_id", F.lit("")).alias("document_id"),
+        F.col("field_seq").alias("sub_seq"),
     )
-    pieces = F.ceil(F.col("n") / F.lit(bucket_rows))
-    share = (seq - F.col("low")) / (F.col("high") - F.col("low") + 1)
-    return (
-        events.join(sizes, ["case_id", "key"])
-        .withColumn("bucket", F.floor(share * pieces))
-        .drop("n", "low", "high")
+    return fields.select("case_id", "key", place.alias("place"), "field_id", *kept)
+
+
+def mention_places(reviews: DataFrame) -> DataFrame:
+    """The mentions of reviews of cases with their places among the arrivals."""
+    place = F.struct(
+        "event_seq",
+        F.lit(1).alias("kind"),
+        F.lit("").alias("document_id"),
+        F.col("mention_seq").alias("sub_seq"),
     )
+    return mentions(reviews).select("case_id", "key", place.alias("place"), "value")
+
+
+def _listed(numbers: list[float]) -> Column:
+    """An array of constants; folded into one literal."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>")
 
 
-def _segments(fields: DataFrame, reviews: DataFrame, bucket_rows: int) -> DataFrame:
-    """Mentions by the field they follow, within buckets of the timeline.
+def time_buckets(seqs: DataFrame, bucket_rows: int) -> Column:
+    """Numbers of stretches of time that hold about ``bucket_rows`` events each.
 
-    A mention changes the field with its key that arrived last before it. One
-    row per (case, key, bucket, arrived field): how many mentions followed it in
-    the bucket, and the last of them. ``target`` is null where the bucket holds
-    no earlier arrival.
+    ``seqs`` has one row (event_seq) per event of all cases. Their distribution is
+    counted in ``CELLS`` equal cells and taken as even within each, so the number of a
+    bucket never falls along time and does not depend on the unit of the sequence
+    numbers. As no bucket holds many events, no (case, key) has many in one.
     """
-    timeline = _timeline(fields, reviews, bucket_rows)
-    so_far = (
-        Window.partitionBy("case_id", "key", "bucket")
-        .orderBy("place")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seq = F.col("event_seq")
+    facts = seqs.agg(F.count(seq).alias("n"), F.min(seq).alias("low"), F.max(seq).alias("high")).first()
+    if facts.n <= bucket_rows:
+        return F.lit(0).cast("long")
+    share = (seq - F.lit(facts.low)) / F.lit(facts.high - facts.low + 1) * CELLS
+    cell = F.least(F.floor(share), F.lit(CELLS - 1)).cast("int")
+    counts = dict(seqs.filter(seq.isNotNull()).groupBy(cell.alias("cell")).count().collect())
+    ends = list(accumulate(counts.get(n, 0) / bucket_rows for n in range(CELLS)))
+    low, high = F.get(_listed([0.0, *ends[:-1]]), cell), F.get(_listed(ends), cell)
+    return F.floor(F.least(low + (share - cell) * (high - low), high)).cast("long")
+
+
+def _timeline(arrived: DataFrame, mentioned: DataFrame, bucket_rows: int) -> DataFrame:
+    """Arrivals and mentions together, in buckets of time.
+
+    Places are total: equal sequence numbers are told apart by kind, document and the
+    place within it.
+    """
+    events = arrived.withColumn("value", F.lit(None).cast("string")).unionByName(
+        mentioned.withColumn("field_id", F.lit(None).cast("string"))
     )
+    seqs = events.select(F.col("place.event_seq").alias("event_seq"))
+    bucket = time_buckets(seqs, bucket_rows)
+    return events.withColumn("event_seq", F.col("place.event_seq")).withColumn("bucket", bucket).drop("event_seq")
+
+
+def fold_mentions(arrived: DataFrame, mentioned: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Per changed field its mentions: case_id, key, target, times, last and first.
+
+    A mention changes the field with its key that arrived last before it; ``target`` is
+    null where none did. Each bucket of a (case, key) is put in order once and gives one
+    row per field that was mentioned in it. Two kinds of rows are open, i.e. go together
+    with those of other buckets: mentions before the bucket's first arrival, and its
+    last arrival. They alone meet in the second window, two rows a bucket at most; the
+    others keep to themselves, so a case or key that holds most of all events is never
+    in one task.
+    """
+    in_order = Window.partitionBy("case_id", "key", "bucket").orderBy("place")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     is_mention = F.col("value").isNotNull()
-    return (
-        timeline.withColumn("target", F.last("field_id", ignorenulls=True).over(so_far))
-        .groupBy("case_id", "key", "bucket", "target")
+    segments = (
+        _timeline(arrived, mentioned, bucket_rows)
+        .withColumns(
+            {
+                "target": F.last("field_id", ignorenulls=True).over(so_far),
+                "is_open": F.last("field_id", ignorenulls=True).over(whole),
+            }
+        )
+        .withColumn("is_open", F.col("target").eqNullSafe(F.col("is_open")) | F.col("target").isNull())
+        .groupBy("case_id", "key", "bucket", "target", "is_open")
         .agg(
             F.count("value").alias("times"),
             F.max(F.when(is_mention, F.struct("place", "value"))).alias("last"),
             F.min(F.when(is_mention, F.col("place"))).alias("first"),
-            F.max("place").alias("until"),
         )
+        .filter("is_open OR times > 0")
+        .withColumn("own", F.when(~F.col("is_open"), F.col("bucket")))
     )
-
-
-def mention_targets(
-    fields: DataFrame, reviews: DataFrame, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """Per changed field: its last mention and how often it was mentioned.
-
-    ``target`` is null for mentions no field preceded. What a bucket passes on
-    to the next ones is one row per (case, key, bucket), so the only window over
-    a whole (case, key) runs over those.
-    """
-    segments = _segments(fields, reviews, bucket_rows)
-    within = segments.filter(F.col("target").isNotNull() & (F.col("times") > 0)).select(
-        "case_id", "key", "target", "times", "last", "first"
-    )
-    heads = F.col("target").isNull()
-    per_bucket = segments.groupBy("case_id", "key", "bucket").agg(
-        F.max_by("target", F.when(~heads, F.col("until"))).alias("passed_on"),
-        F.sum(F.when(heads, F.col("times"))).alias("times"),
-        F.max(F.when(heads, F.col("last"))).alias("last"),
-        F.min(F.when(heads, F.col("first"))).alias("first"),
-    )
-    before = (
-        Window.partitionBy("case_id", "key")
-        .orderBy("bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    across = (
-        per_bucket.withColumn("target", F.last("passed_on", ignorenulls=True).over(before))
-        .filter(F.col("times") > 0)
-        .select("case_id", "key", "target", "times", "last", "first")
+    # Within a bucket, what came before its first arrival goes first.
+    carried = (
+        Window.partitionBy("case_id", "key", "own")
+        .orderBy("bucket", F.col("target").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        within.unionByName(across)
-        .groupBy("case_id", "key", "target")
-        .agg(
-            F.sum("times").alias("times"),
-            F.max("last").alias("last"),
-            F.min("first").alias("first"),
-        )
-        .select("case_id", "key", "target", "times", F.col("last.value").alias("value"), "first")
+        segments.withColumn("target", F.last("target", ignorenulls=True).over(carried))
+        .filter("times > 0")
+        .groupBy("case_id", "key", "own", "target")
+        .agg(F.sum("times").alias("times"), F.max("last").alias("last"), F.min("first").alias("first"))
+        .drop("own")
     )
 
 
-def apply_case_reviews(
+def mention_targets(
     fields: DataFrame, reviews: DataFrame, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Fields of the cases after all reviews, reviewer-entered ones included.
+    """What reviews of cases change, one row per field changed or entered."""
+    return fold_mentions(arrivals(fields), mention_places(reviews), bucket_rows)
+
 
-    Changes meet the fields in a left join, so a few of them can be broadcast;
-    entered fields are added, each of them once.
+def apply_targets(fields: DataFrame, targets: DataFrame) -> DataFrame:
+    """Fields as the mentions in ``targets`` leave them, entered ones included.
+
+    ``targets`` is read twice, so it should be a table. Changes meet the fields in a
+    left join: as long as they are few, Spark may broadcast them and the fields stay
+    where they are.
     """
-    targets = mention_targets(fields, reviews, bucket_rows).withColumn(
+    checked = targets.withColumn("value", F.col("last.value")).withColumn(
         "check", validate(F.col("key"), F.col("value"), F.lit(GENERIC_DOCUMENT_TYPE))
     )
-    changes = targets.filter("target IS NOT NULL").select(
+    changes = checked.filter("target IS NOT NULL").select(
         F.col("target").alias("field_id"), F.struct("value", "check").alias("change")
     )
     change = F.col("change")
@@ -186,7 +190,17 @@ def apply_case_reviews(
             for name in FIELD_COLUMNS
         ]
     )
-    return kept.unionByName(_entered(targets.filter("target IS NULL")))
+    return kept.unionByName(_entered(checked.filter("target IS NULL")))
+
+
+def apply_case_reviews(
+    fields: DataFrame, reviews: DataFrame, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Fields of the cases after all reviews, reviewer-entered ones included.
+
+    What the reviews change is worked out and written once; it is narrow.
+    """
+    return apply_targets(fields, materialise(mention_targets(fields, reviews, bucket_rows), "targets"))
 
 
 def _entered(targets: DataFrame) -> DataFrame:
@@ -222,13 +236,18 @@ def _entered(targets: DataFrame) -> DataFrame:
     return targets.select(*[columns[name].alias(name) for name in FIELD_COLUMNS])
 
 
-def apply_document_reviews(fields: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Fields of template documents after all reviews; unknown keys are ignored."""
-    latest = (
+def document_changes(reviews: DataFrame) -> DataFrame:
+    """The last mention per template document and key."""
+    return (
         mentions(reviews, "document_id")
         .groupBy("document_id", "key")
-        .agg(F.max_by("value", F.struct("event_seq", "mention_seq", "value")).alias("new_value"))
+        .agg(F.max(F.struct("event_seq", "mention_seq", "value")).alias("last"))
     )
+
+
+def apply_document_changes(fields: DataFrame, changes: DataFrame) -> DataFrame:
+    """Fields of template documents after their last mentions; unknown keys are ignored."""
+    latest = changes.select("document_id", "key", F.col("last.value").alias("new_value"))
     joined = fields.join(latest, ["document_id", "key"], "left").withColumn(
         "check", validate(F.col("key"), F.col("new_value"), F.col("document_type"))
     )
@@ -249,6 +268,11 @@ def apply_document_reviews(fields: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
+def apply_document_reviews(fields: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Fields of template documents after all reviews."""
+    return apply_document_changes(fields, document_changes(reviews))
+
+
 def review_decisions(reviews: DataFrame, subject: str = "case") -> DataFrame:
     """Reviews with the status and the audit action each leads to."""
     return reviews.withColumns(
@@ -259,20 +283,19 @@ def review_decisions(reviews: DataFrame, subject: str = "case") -> DataFrame:
     )
 
 
-def review_state(reviews: DataFrame, target: str = "case_id") -> DataFrame:
-    """Reviewer, note and time of the last review per target.
+def last_reviews(reviews: DataFrame, target: str = "case_id") -> DataFrame:
+    """Per target its last review and where that stands.
 
     Reviews with one sequence number follow each other by time, then by content.
     """
     place = F.struct("event_seq", "reviewed_at", "reviewer", "decision", "note")
-    return (
-        reviews.groupBy(target)
-        .agg(
-            F.max_by(F.struct("reviewer", "note", "reviewed_at"), place).alias("review"),
-            F.max_by(decided_status(F.col("decision")), place).alias("status_after"),
-        )
-        .select(target, "review.*", "status_after")
-    )
+    review = F.struct("reviewer", "note", "reviewed_at", decided_status(F.col("decision")).alias("status_after"))
+    return reviews.groupBy(target).agg(F.max(place).alias("place"), F.max_by(review, place).alias("review"))
+
+
+def review_state(reviews: DataFrame, target: str = "case_id") -> DataFrame:
+    """Reviewer, note and time of the last review per target, and the status it leads to."""
+    return last_reviews(reviews, target).select(target, "review.*")
 
 
 def apply_document_decisions(records: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.rows import exploded, with_computed
@@ -23,6 +23,7 @@ from dossier.operators.responses import (
     latest_responses,
     parse_responses,
 )
+from dossier.operators.rule_table import as_fields, table_fields
 from dossier.operators.rules import (
     DEFAULT_RULES,
     REVIEW_FINDING,
@@ -90,25 +91,44 @@ def process_documents(
     read by rules. ``keep_pages`` carries the text blocks along for exports.
     """
     uploads, _ = check_domain(uploads, "upload")
-    # Cases may be very unequal in size, so only ids meet them. What was read off
-    # the text (and the pages, if kept) is shuffled once, by its own document's id.
-    case_types = (
-        uploads.select("document_id", "case_id")
-        .join(cases.select("case_id", "case_type"), "case_id")
-        .select("document_id", "case_type")
-    )
+    known = case_types(uploads, cases)
     if responses is None:
-        verdicts = case_types.select(
+        verdicts = known.select(
             "*", *[F.lit(None).cast(field.dataType).alias(field.name) for field in PARSED]
         )
     else:
         # Responses to other documents are dropped before they are parsed.
-        wanted = responses.join(case_types.select("document_id"), "document_id", "left_semi")
-        verdicts = case_types.join(
-            parse_responses(latest_responses(wanted)), "document_id", "left"
-        )
+        wanted = responses.join(known.select("document_id"), "document_id", "left_semi")
+        verdicts = known.join(parse_responses(latest_responses(wanted)), "document_id", "left")
     answered = document_signals(uploads, rules, keep_pages).join(verdicts, "document_id")
+    return resolve(answered, rules, keep_pages)
+
+
+def case_types(uploads: DataFrame, cases: DataFrame) -> DataFrame:
+    """document_id and case_type of the uploads whose case is known.
+
+    Cases may be very unequal in size, so only ids meet them. What was read off the text
+    (and the pages, if kept) is shuffled once, by its own document's id.
+    """
+    return (
+        uploads.select("document_id", "case_id")
+        .join(cases.select("case_id", "case_type"), "case_id")
+        .select("document_id", "case_type")
+    )
+
 
+def resolve(
+    answered: DataFrame,
+    rules: Sequence[TextRule] = DEFAULT_RULES,
+    keep_pages: bool = False,
+    by_rules: Column | None = None,
+) -> DataFrame:
+    """Documents from their signals, case type and verdict: the model's fields, or the rules'.
+
+    ``by_rules``: the fields that rules found, where they are not read off the hits.
+    """
+    if by_rules is None:
+        by_rules = rule_fields(F.col("hits"), F.col("first_bbox"), F.col("case_type"), rules)
     parsed = F.col("outcome") == "parsed"
     review_finding = finding(*REVIEW_FINDING)
     failure_finding = finding(
@@ -131,7 +151,7 @@ def process_documents(
         .alias("summary"),
         F.coalesce("outcome", F.lit("no_response")).alias("outcome"),
         F.when(parsed, F.col("fields"))
-        .otherwise(rule_fields(F.col("hits"), F.col("first_bbox"), F.col("case_type"), rules))
+        .otherwise(by_rules)
         .alias("fields"),
         F.when(parsed, F.col("findings"))
         .when(F.col("outcome") == "failed", F.array(review_finding, failure_finding))
@@ -143,6 +163,18 @@ def process_documents(
     )
 
 
+def process_by_rule_table(uploads: DataFrame, cases: DataFrame, rules: DataFrame) -> DataFrame:
+    """Documents read by a table of rules (``rule_table``), the model step switched off."""
+    uploads, _ = check_domain(uploads, "upload")
+    known = case_types(uploads, cases)
+    paged = with_computed(named(uploads).select("document_id", "content", "filename"), {"pages": document_pages()})
+    texts = paged.select("document_id", all_text(F.col("pages")).alias("text"))
+    found = table_fields(texts, known, rules)
+    verdicts = known.select("*", *[F.lit(None).cast(field.dataType).alias(field.name) for field in PARSED])
+    answered = document_signals(uploads, rules=()).join(verdicts, "document_id").join(found, "document_id", "left")
+    return resolve(answered, by_rules=as_fields(F.col("found"), F.col("first_bbox")))
+
+
 def document_fields(documents: DataFrame) -> DataFrame:
     """One validated row per field of the processed documents."""
     kept = ["case_id", "document_id", "event_seq", "document_type"]

@@ -213,3 +213,9 @@ FIELD_COLUMNS = (
     "extracted_by",
     "review_status",
 )
+
+# Columns of audit rows, in order.
+AUDIT = (
+    "target_id string, event_seq bigint, sub_seq int, action string, actor string, note string, "
+    "metadata map<string,string>, created_at timestamp_ntz"
+)

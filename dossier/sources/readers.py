@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import schemas
+from dossier.functions.order import in_order
 from dossier.functions.text import stable_id
 
 
@@ -58,6 +61,40 @@ def read_reviews(spark: SparkSession, path: str, format_: str = "parquet") -> Da
     return _read(spark, path, schemas.REVIEWS, format_)
 
 
+def audit_rows(
+    spark: SparkSession,
+    path: str,
+    since: str | None = None,
+    until: str | None = None,
+    run_ids: Sequence[str] = (),
+) -> DataFrame:
+    """Audit rows as ``writers.append_audit`` laid them down.
+
+    ``since`` and ``until`` (days, both included) and ``run_ids`` leave other folders
+    unread.
+    """
+    rows = spark.read.schema(f"{schemas.AUDIT}, run_id string, day date").parquet(path)
+    if since is not None:
+        rows = rows.filter(F.col("day") >= F.lit(since).cast("date"))
+    if until is not None:
+        rows = rows.filter(F.col("day") <= F.lit(until).cast("date"))
+    if run_ids:
+        rows = rows.filter(F.col("run_id").isin(*run_ids))
+    return rows
+
+
+def read_audit(spark: SparkSession, path: str, *, targets: DataFrame | None = None, **scanned) -> DataFrame:
+    """``audit_rows``, of the target_ids in ``targets`` if given, with their ``place``.
+
+    Rows come by time; those of one time by target and event, so the places do not
+    depend on files or runs.
+    """
+    rows = audit_rows(spark, path, **scanned)
+    if targets is not None:
+        rows = rows.join(targets.select("target_id").distinct(), "target_id", "left_semi")
+    return in_order(rows, "created_at", "target_id", "event_seq", "sub_seq", "action", "actor", "note")
+
+
 def named(uploads: DataFrame) -> DataFrame:
     """Adds the ``stored_name`` of an upload; it also serves for an empty filename.
 

@@ -107,3 +107,25 @@ def test_last_review_counts(spark):
     )
     row = reviews.review_state(found).first()
     assert (row.reviewer, row.note, row.status_after) == ("r9", "n9", "rejected")
+
+
+def _exchanges(spark, build):
+    """Exchanges of the tables that ``build`` writes and of the plan it returns."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "1024"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        return build()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
+def test_fold_reads_each_side_once(spark):
+    fields, found = tables(spark, list(histories(20, 2)))
+    targets = _exchanges(spark, lambda: reviews.mention_targets(fields, found))
+    applied = _exchanges(spark, lambda: reviews.apply_case_reviews(fields, found))
+    # With one bucket of time, the order across buckets needs no exchange of its own.
+    assert targets == 1 and targets + applied <= 3
+    many = _exchanges(spark, lambda: reviews.mention_targets(fields, found, 3))
+    assert many == 2
