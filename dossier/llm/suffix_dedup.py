@@ -31,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +47,8 @@ LEFT = 19
 BLOCK_BYTES = 1 << 20
 #: Longer texts are cut into pieces that overlap by ``MATCH - 1`` bytes.
 PIECE_BYTES = 16 << 20
+#: Texts per bucket, about; a bucket is one group of a task.
+BUCKET_BYTES = 4 << 20
 #: Documents looked at for anchors with many surroundings, and when an anchor has many.
 SAMPLE_DOCS = 20_000
 HOT_RUNS = 100
@@ -430,9 +431,11 @@ def _sorted_docs(chunk: pa.Table) -> list[tuple[int, bytes]]:
     return sorted((doc, text) for doc, text in pairs if doc is not None and text)
 
 
-def hot_anchors(docs: DataFrame) -> np.ndarray:
-    """Hashes of anchors with many different surroundings in a sample, ascending."""
-    total = docs.count()
+def hot_anchors(docs: DataFrame, total: int) -> np.ndarray:
+    """Hashes of anchors with many different surroundings in a sample, ascending.
+
+    ``total`` is the number of documents.
+    """
     part = max(1, -(-total // SAMPLE_DOCS))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,8 +466,9 @@ def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): per document the places that go, as an array of (low, high)."""
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    shared = spark.sparkContext.broadcast(hot_anchors(given))
-    buckets = 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, size = given.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shared = spark.sparkContext.broadcast(hot_anchors(given, total))
+    buckets = max(6 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
@@ -538,34 +542,56 @@ def spans(docs: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
-def _with_cut(docs: DataFrame) -> DataFrame:
-    """(row, cut): each row as it was, and the struct (n_bytes, n_removed, n_spans, kept)."""
+#: What is left of each row's text.
+CUT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
+
+
+def _cut(data: bytes, spans_: list[dict] | None) -> tuple[int, int, int, bytes]:
+    """n_bytes, n_removed, n_spans and what is kept."""
+    if not spans_:
+        return len(data), 0, 0, data
+    pairs = np.array([(x["low"], x["high"]) for x in spans_], np.int64)
+    _, low, high = _merge_spans(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+    high = np.minimum(high, len(data))
+    low = np.minimum(low, high)
+    kept = [data[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(data)])]
+    return len(data), int((high - low).sum()), int((high > low).sum()), b"".join(kept)
+
+
+def _with_cut(docs: DataFrame, characters: bool = False) -> DataFrame:
+    """(row, had_text, n_bytes, n_removed, n_spans, kept): each row but its text, and the cut.
+
+    With ``characters``, one that loses some of its bytes goes as a whole. A task holds
+    one chunk of texts at a time.
+    """
     gone = materialise(spans(docs), "spans").withColumnRenamed("doc_id", "gone")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
-    def cut(texts: pd.Series, spans_: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, found in zip(texts, spans_):
-            data = text.encode() if text else b""
-            if found is None or not len(found):
-                out.append((len(data), 0, 0, data))
-                continue
-            pairs = np.array([(x["low"], x["high"]) for x in found], np.int64)
-            _, low, high = _merge_spans(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
-            high = np.minimum(high, len(data))
-            low = np.minimum(low, high)
-            kept = [data[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(data)])]
-            out.append((len(data), int((high - low).sum()), int((high > low).sum()), b"".join(kept)))
-        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+    others = [F.col(f"`{name}`") for name in docs.columns if name != "text"]
+    rows = docs.select(
+        F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("id"),
+        F.col("text").cast("string").cast("binary").alias("text"),
+    )
 
-    joined = rows.join(gone, F.col("id") == F.col("gone"), "left")
-    return joined.select("row", cut(F.col("row.text").cast("string"), F.col("spans")).alias("cut"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text", CHUNK_BYTES):
+            found = [_cut(text.as_py() or b"", spans_.as_py()) for text, spans_ in zip(chunk["text"], chunk["spans"])]
+            if characters:
+                found = [(*x[:3], x[3].decode("utf-8", "ignore").encode() if x[1] else x[3]) for x in found]
+            columns = [pa.array(values, kind) for values, (_, kind) in zip(zip(*found), CUT)]
+            had_text = pa.chunked_array(chunk["text"].is_valid()).combine_chunks()
+            row = chunk["row"].combine_chunks()
+            names = ["row", "had_text", *(name for name, _ in CUT)]
+            yield pa.RecordBatch.from_arrays([row, had_text, *columns], names=names)
+
+    joined = rows.join(gone, F.col("id") == F.col("gone"), "left").select("row", "text", "spans")
+    row = joined.schema["row"].dataType.simpleString()
+    return joined.mapInArrow(
+        cut, f"row {row}, had_text boolean, n_bytes long, n_removed long, n_spans long, kept binary"
+    )
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the bytes left) of each row."""
-    return _with_cut(docs).select("row.doc_id", "cut.*")
+    return _with_cut(docs.select("doc_id", "text")).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
@@ -574,21 +600,18 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     A character that loses some of its bytes goes as a whole. A text that loses all
     becomes empty; null texts stay null.
     """
-
-    @F.pandas_udf("string")
-    def valid(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: None if x is None else x.decode("utf-8", "ignore"))
-
-    row, removed = F.col("row"), F.col("cut.n_removed") > 0
-    text = F.when(removed, valid(F.col("cut.kept"))).otherwise(row["text"])
-    rows = _with_cut(docs).withColumn("text", text)
+    removed = F.col("n_removed") > 0
+    text = F.when(F.col("had_text"), F.col("kept").cast("string"))
+    rows = _with_cut(docs, characters=True).withColumn("text", text)
     out = []
     for field in docs.schema:
-        value = row[field.name]
         if field.name == "text":
             value = F.col("text")
         elif field.name == "n_chars":
-            value = F.when(removed, F.length("text").cast(field.dataType)).otherwise(value)
+            held = F.col("row")[field.name]
+            value = F.when(removed, F.length("text").cast(field.dataType)).otherwise(held)
+        else:
+            value = F.col("row")[field.name]
         out.append(value.alias(field.name))
     return rows.select(*out)
 
