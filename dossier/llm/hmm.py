@@ -6,9 +6,11 @@ classes by a hash of their last three characters. Inside such a class a token ha
 smoothed relative frequency, so the model is a distribution over whole texts.
 
 Counting tokens covers all training documents and leaves one row per distinct token.
-Baum-Welch starts on a sample of at most ``WARM_ROWS`` documents and then runs
-``PASSES`` times over all of them: every task turns its documents into expected
-counts, which are added up by blocks of classes. Training cuts texts into runs of
+Baum-Welch takes all training documents in disjoint shares, dealt by a hash of their
+row, each twice as large as the one before: every task turns its documents of a share
+into expected counts, which are added up by blocks of classes, and the model moves on to
+the next share with these and half of what it had before. So early steps are cheap, the
+last one sees half of all documents, and every share grows with the table. Training cuts texts into runs of
 ``RUN`` tokens; scoring uses the scaled forward recursion over whole texts and is
 exact. Frequent tokens are known to every task (``HEAD`` bounds that table); the rest
 of a text meets the token counts in one join, whose keys are rare tokens only.
@@ -39,15 +41,18 @@ from dossier.session import materialise
 STATES = 8
 HEAD = 32_768
 TAIL_CLASSES = 512
-WARM_ROWS = 2_000
-WARM_PASSES = 8
-PASSES = 1
+#: Steps of the training; the first share is the table's 2 ** (1 - SHARES) th part.
+SHARES = 8
+#: Weight of the counts of the shares before.
+MEMORY = 0.5
 RUN = 256
+#: Runs of tokens that the recursions take together.
+RUNS_AT_ONCE = 512
 SEED = 42
 ADD = 0.1
 #: Weight, in tokens, of the overall class distribution in a state's.
 EMISSION_PRIOR = 50.0
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 4 << 20
 #: Classes are added up in so many blocks.
 BLOCKS = 16
 
@@ -185,8 +190,8 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     move, start = model.move.astype(np.float32), model.start.astype(np.float32)
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
-    for first in range(0, len(starts), 4096):
-        begin, size = starts[first : first + 4096], sizes[first : first + 4096]
+    for first in range(0, len(starts), RUNS_AT_ONCE):
+        begin, size = starts[first : first + RUNS_AT_ONCE], sizes[first : first + RUNS_AT_ONCE]
         steps, n = size[0], len(begin)
         at = np.minimum(begin[None, :] + np.arange(steps)[:, None], len(flat) - 1)
         seen = flat[at]
@@ -220,11 +225,11 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def baum_welch(train: DataFrame, model: Model) -> Model:
-    """One pass over ``train``: counts per task, added up by blocks of columns."""
+def counted(train: DataFrame, model: Model) -> np.ndarray | None:
+    """Expected counts over ``train``: those of each task, added up by blocks of columns."""
     shared = train.sparkSession.sparkContext.broadcast(model)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = shared.value, None
         for chunk in chunks(batches, "text", CHUNK_BYTES):
             found = expected_counts(known, [known.classes(x)[0] for x in chunk["text"].to_pylist()])
@@ -240,13 +245,18 @@ def baum_welch(train: DataFrame, model: Model) -> Model:
                 total = total + np.frombuffer(part)
         yield pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
 
-    parts = train.select(F.col("text").cast("string")).mapInArrow(counted, "block long, counts binary")
+    parts = train.select(F.col("text").cast("string")).mapInArrow(of_task, "block long, counts binary")
     rows = parts.groupBy("block").applyInPandas(added, "block long, counts binary").orderBy("block").collect()
     shared.unpersist()
     if not rows:
-        return model
+        return None
+    states = len(model.start)
+    return np.concatenate([np.frombuffer(row["counts"]).reshape(states, -1) for row in rows], axis=1)
+
+
+def moved(model: Model, total: np.ndarray) -> Model:
+    """The model that expected counts lead to."""
     states, k = model.emit.shape
-    total = np.concatenate([np.frombuffer(row["counts"]).reshape(states, -1) for row in rows], axis=1)
     start, move, emit = total[:, 0] + 0.1, total[:, 1 : 1 + states] + 0.1, total[:, 1 + states :]
     overall = (emit.sum(axis=0) + ADD) / (emit.sum() + ADD * k)
     emit = emit + EMISSION_PRIOR * overall
@@ -256,21 +266,19 @@ def baum_welch(train: DataFrame, model: Model) -> Model:
     )
 
 
-def fit(train: DataFrame, states: int = STATES, warm_passes: int = WARM_PASSES, passes: int = PASSES):
+def fit(train: DataFrame, states: int = STATES, shares: int = SHARES):
     """(model, rare token counts, N) from all rows of ``train``."""
     counts = materialise(token_counts(train), "tokens")
     model, rare = vocabulary(counts, states)
-    place = F.xxhash64("doc_id", F.xxhash64("text"))
-    warm = train.select("text", place.alias("_place")).filter("text IS NOT NULL")
-    chosen = warm.select("_place").orderBy("_place").limit(WARM_ROWS)
-    last = chosen.agg(F.max("_place")).first()[0]
-    if last is not None:
-        # Rows of one place are equal rows; the bound holds for different ones.
-        sample = materialise(warm.filter(F.col("_place") <= last).dropDuplicates(["_place"]), "warm")
-        for _ in range(warm_passes):
-            model = baum_welch(sample, model)
-    for _ in range(passes):
-        model = baum_welch(train, model)
+    # The last share has the upper half of the numbers, the one before the next quarter.
+    place = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(SEED)), F.lit(1 << (shares - 1)))
+    total: np.ndarray | float = 0.0
+    for share in range(shares):
+        low, high = (1 << share) >> 1, 1 << share
+        found = counted(train.filter((place >= low) & (place < high)), model)
+        if found is not None:
+            total = MEMORY * total + found
+            model = moved(model, total)
     return model, rare, counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
 
 
