@@ -63,7 +63,7 @@ def first_centroids(vectors: DataFrame, k: int = K, seed: int = SEED) -> np.ndar
     named = vectors.filter("vec_id IS NOT NULL")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = named.withColumn("digest", digest).orderBy("digest", "vec_id", "vector").limit(k).select("vector").collect()
-    return np.array([row.vector for row in rows], np.int64).reshape(len(rows), -1)
+    return np.array([row.vector for row in rows], np.int64).reshape(len(rows), SIZE)
 
 
 class Curve:
