@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as none of the rows' columns has."""
+    taken = {name.lower() for name in rows.columns}
+    depth = 1
+    while any("_" * depth + name in taken for name in names):
+        depth += 1
+    return ["_" * depth + name for name in names]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once per row, however often it is named."""
     return F.transform(F.array(value), body)[0]

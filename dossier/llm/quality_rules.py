@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.rows import with_computed
-from dossier.llm.common import BLANKS, let, table, words
+from dossier.llm.common import BLANKS, fresh, let, table, words
 from dossier.session import materialise
 
 SYMBOLS = "#*$%&|<>"
@@ -184,13 +184,15 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     fenced, or the filter would write their expression out once per mention.
     """
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    host_name, facts_name, verdict_name = fresh(docs, "host", "facts", "verdict")
     verdicts = host_verdicts(
         docs.select(host.alias("host"), facts(F.col("text"), limits)["rule_failed"].alias("rule_failed")),
         limits,
-    ).select(F.col("host").alias("_host"), F.col("host_verdict").alias("_verdict"))
-    found = with_computed(docs.withColumn("_host", host), {"_facts": facts(F.col("text"), limits)})
-    kept = _kept(F.col("_verdict"), F.col("_facts.base_failed"), F.col("_facts.rule_failed"))
-    return found.join(verdicts, "_host").filter(kept).select(*(docs[c] for c in docs.columns))
+    ).select(F.col("host").alias(host_name), F.col("host_verdict").alias(verdict_name))
+    found = with_computed(docs.withColumn(host_name, host), {facts_name: facts(F.col("text"), limits)})
+    own = F.col(facts_name)
+    kept = _kept(F.col(verdict_name), own["base_failed"], own["rule_failed"])
+    return found.join(verdicts, host_name).filter(kept).select(*(docs[c] for c in docs.columns))
 
 
 def op10_quality_rules(spark, sf_dir) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import LOWER, UPPER, chunks, table
+from dossier.llm.common import chunks, fresh, LOWER, table, UPPER
 from dossier.llm.components import components
 from dossier.session import materialise
 
@@ -219,8 +219,9 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """The documents with the smallest id of each component; rows without an id stay."""
     others = near_components(docs, shingle, budget).filter("component_id < doc_id")
-    gone = others.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = others.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def op6_simhash(spark, sf_dir) -> DataFrame:
