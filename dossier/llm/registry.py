@@ -18,7 +18,7 @@ from dossier.llm.quality_rules import op10_quality_rules
 from dossier.llm.simhash import op6_simhash
 from dossier.llm.suffix_dedup import op2_suffix_dedup
 from dossier.llm.twins import SQL
-from dossier.llm.url_filters import op3_url_filters
+from dossier.llm.url_filters import op3_url_filters, url_rules
 
 
 def shipped(query):
@@ -37,7 +37,7 @@ QUERIES = {
     for query in (
         op1_license_scan, op2_suffix_dedup, op3_url_filters, op4_best_fit_packing, op5_nearest_vectors,
         op6_simhash, op7_hmm_scoring, op8_merge_dropout, op9_quality_classifier, op10_quality_rules,
-        op11_periodic_runs, op12_byte_bpe, op13_centroid_clusters,
+        op11_periodic_runs, op12_byte_bpe, op13_centroid_clusters, url_rules,
     )
 }
 

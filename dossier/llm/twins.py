@@ -72,6 +72,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   CASE WHEN rate >= 0.8 THEN 'bad' WHEN rate >= 0.5 THEN 'suspect' ELSE 'good' END AS host_verdict
 FROM judged JOIN verdicts USING (host_name)"""
 
+URL_RULES = r"""
+WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(domain, start, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+  ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fitting AS (SELECT page_id, arg_max({'rule': concat(domain, start), 'verdict': verdict}, length(concat(domain, start))) AS best
+  FROM parts JOIN rules ON (host = domain OR ends_with(host, concat('.', domain))) AND starts_with(path, start) GROUP BY page_id)
+SELECT page_id, host, path, best.rule AS rule, best.verdict AS verdict FROM parts LEFT JOIN fitting USING (page_id)"""
+
 # crc32 of the id's digits, bit by bit; words of every tenth text repeat up to its end.
 PERIODIC_RUNS = r"""
 WITH texts AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS d, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -125,6 +135,7 @@ FROM a5 JOIN c5 ON c5.cluster = best.cluster"""
 SQL = {
     "op1_license_scan": LICENSE_SCAN,
     "op2_suffix_dedup": SUFFIX_DEDUP,
+    "url_rules": URL_RULES,
     "op10_quality_rules": QUALITY_RULES,
     "op11_periodic_runs": PERIODIC_RUNS,
     "op13_centroid_clusters": CENTROID_CLUSTERS,

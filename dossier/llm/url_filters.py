@@ -5,9 +5,10 @@ if the URL's path starts with the rule's path, and the longest rule wins. The tr
 are trained from labelled URLs and decide the rest. ``op3_url_filters`` has no other
 labels than its rules' verdicts, so it learns from the URLs that rules decide.
 
-Training takes a sample of at most ``TRAIN_ROWS`` labelled URLs, those with the
-smallest hashes; the suffix table is made from that sample, so it has at most as
-many rows. Scoring is one pass over all URLs without a shuffle.
+Training takes a sample of at most ``TRAIN_ROWS`` different labelled URLs, those with
+the smallest hashes, each with the number of its rows as weight, so a URL that a third
+of all rows have is one example; the suffix table is made from that sample, so it has at
+most as many rows. Scoring is one pass over all URLs without a shuffle.
 
 Defined results: null URLs and URLs without ``://`` have an empty host and path and
 get a verdict by the trees; repeated rows are judged alike; an empty table gives an
@@ -128,28 +129,31 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS):
     """
     place = F.xxhash64("url")
     sample = materialise(
-        labelled.select("url", "host", "path", F.col("label").cast("double").alias("label"))
-        .orderBy(place, "url").limit(train_rows).coalesce(1),
+        labelled.groupBy("url", "host", "path", F.col("label").cast("double").alias("label"))
+        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        .orderBy(place, "url", "label").limit(train_rows).coalesce(1),
         "urls",
     )
-    seen = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
+    seen = {row["label"]: row["n"] for row in sample.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
     if len(seen) < 2:
         constant = 1.0 if seen and 1.0 in seen else 0.0
         return lambda urls: urls.withColumn("score", F.lit(constant))
     rate = seen[1.0] / sum(seen.values())
     suffixes = materialise(
         sample.groupBy(_suffix(F.col("host")).alias("_suffix")).agg(
-            ((F.sum("label") + F.lit(rate * SUFFIX_PRIOR)) / (F.count(F.lit(1)) + SUFFIX_PRIOR)).alias("_rate"),
-            F.count(F.lit(1)).alias("_seen"),
+            (
+                (F.sum(F.col("label") * F.col("weight")) + F.lit(rate * SUFFIX_PRIOR)) / (F.sum("weight") + SUFFIX_PRIOR)
+            ).alias("_rate"),
+            F.sum("weight").alias("_seen"),
         ),
         "suffixes",
     )
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
     prepared = materialise(
-        assembler.transform(with_features(sample, suffixes, rate)).select("_features", "label"), "features"
+        assembler.transform(with_features(sample, suffixes, rate)).select("_features", "label", "weight"), "features"
     )
     model = GBTClassifier(
-        featuresCol="_features", labelCol="label",
+        featuresCol="_features", labelCol="label", weightCol="weight",
         maxIter=12, maxDepth=4, stepSize=0.2, seed=7,
     ).fit(prepared)
 
@@ -183,6 +187,14 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES
     )
 
 
+def url_rules(spark, sf_dir) -> DataFrame:
+    """The part of the URL filters that SQL can express too."""
+    url = F.col("url").cast("string")
+    parts = table(spark, sf_dir, "pages").select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
+    ruled = rule_of(F.col("host"), F.col("path"))
+    return parts.select("page_id", "host", "path", ruled["rule"].alias("rule"), ruled["verdict"].alias("verdict"))
+
+
 def op3_url_filters(spark, sf_dir) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select(
         "page_id", "host", "path", "rule", "verdict", "score"
