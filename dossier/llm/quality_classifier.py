@@ -1,15 +1,17 @@
 """Quality classifier: labels of the nearest labelled texts, weighted by similarity.
 
-A text becomes a bag of layout terms: n-grams over the classes of its characters
-(letter case, digits, white space, each punctuation mark) with runs collapsed, and
-terms for how often it repeats words and how well it compresses. A truncated
-singular value decomposition of the labelled texts' weighted term counts gives the
-latent space; every document is compared with every labelled vector by cosine, in
-blocks, and its nearest neighbours vote.
+A text becomes a bag of terms. Words and pairs of neighbouring words, lower-cased and
+hashed into ``WORD_TERMS`` slots, say what it is about; layout terms say how it is
+written: n-grams over the classes of its characters (letter case, digits, white space,
+each punctuation mark) with runs collapsed, how often it repeats words and how well it
+compresses. Both parts have a length of their own, so neither drowns the other. A
+truncated singular value decomposition of the labelled texts' weighted term counts,
+found by random projection, gives the latent space; every document is compared with
+every labelled vector by cosine, in blocks, and its nearest neighbours vote.
 
 The labelled rows are a sample of at most ``SAMPLE_ROWS``, those with the smallest
-hash of their id, so the broadcast model has at most ``SAMPLE_ROWS * RANK + TERMS *
-RANK`` numbers. Scoring is one pass over the documents without a shuffle.
+hash of their id, so the broadcast model has at most ``(SAMPLE_ROWS + TERMS +
+WORD_TERMS) * RANK`` numbers. Scoring is one pass over the documents without a shuffle.
 
 Defined results: null and blank texts have no terms and get the share of good
 labels as score; repeated rows are scored alike; an empty table gives an empty
@@ -28,12 +30,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import id_remainder, table
+from dossier.llm.common import fresh, id_remainder, table
 from dossier.session import materialise
 
 SAMPLE_ROWS = 5_000
+#: Layout terms, and word terms behind them.
 TERMS = 1024
-RANK = 48
+WORD_TERMS = 1 << 15
+RANK = 64
+#: Length of the word part beside that of the layout part.
+WORD_WEIGHT = 1.0
+SEED = 42
 NEIGHBOURS = 15
 THRESHOLD = 0.7
 #: Documents whose products with the labelled vectors are computed at once.
@@ -51,8 +58,8 @@ _CLASSES[[9, 11, 12, 13]] = ord(" ")
 _CLASSES = _CLASSES.tobytes()
 
 
-def terms(text: str | None) -> np.ndarray:
-    """Counts of the text's terms; all zero for null and blank texts."""
+def layout_terms(text: str | None) -> np.ndarray:
+    """Counts of the text's layout terms; all zero for null and blank texts."""
     counts = np.zeros(TERMS, dtype=np.float32)
     data = (text or "").encode("utf-8", "replace")
     shape = np.frombuffer(data.translate(_CLASSES), dtype=np.uint8)
@@ -78,28 +85,75 @@ def terms(text: str | None) -> np.ndarray:
     return counts
 
 
+def word_terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the text's words and word pairs, ascending, and their weights."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    single = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+    pairs = (single[:-1] * np.uint32(2246822519)) ^ single[1:]
+    slots = (np.concatenate([single, pairs]) * np.uint32(2654435761)) >> np.uint32(17)
+    slots, counts = np.unique(slots, return_counts=True)
+    values = np.sqrt(counts).astype(np.float32)
+    norm = np.linalg.norm(values)
+    return slots.astype(np.int32) + TERMS, values * (WORD_WEIGHT / norm if norm else 0.0)
+
+
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all terms of a text and their weights; none for null and blank texts."""
+    layout = layout_terms(text)
+    (slots,) = layout.nonzero()
+    words, values = word_terms(text)
+    return np.concatenate([slots.astype(np.int32), words]), np.concatenate([layout[slots], values])
+
+
+Terms = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _times(rows: Terms, matrix: np.ndarray) -> np.ndarray:
+    """The product of a sparse matrix, given by its rows, and a matrix."""
+    found = [values @ matrix[slots] for slots, values in rows]
+    return np.stack(found) if found else np.zeros((0, matrix.shape[1]), matrix.dtype)
+
+
+def _transposed_times(rows: Terms, matrix: np.ndarray) -> np.ndarray:
+    out = np.zeros((TERMS + WORD_TERMS, matrix.shape[1]), matrix.dtype)
+    for (slots, values), row in zip(rows, matrix):
+        out[slots] += values[:, None] * row
+    return out
+
+
+def latent_axes(rows: Terms, rank: int = RANK, rounds: int = 1) -> np.ndarray:
+    """The leading right singular vectors of a sparse matrix, one per column."""
+    start = np.random.default_rng(SEED).standard_normal((TERMS + WORD_TERMS, rank + 8), np.float32)
+    found = np.linalg.qr(_times(rows, start))[0]
+    for _ in range(rounds):
+        found = np.linalg.qr(_times(rows, np.linalg.qr(_transposed_times(rows, found))[0]))[0]
+    vectors = np.linalg.svd(_transposed_times(rows, found), full_matrices=False)[0]
+    return np.ascontiguousarray(vectors[:, :rank])
+
+
 class Neighbours:
     """Labelled vectors in the latent space, and the projection into it."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray):
+    def __init__(self, rows: Terms, labels: np.ndarray):
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        seen = (counts > 0).sum(axis=0)
-        self.weights = np.log((1.0 + len(counts)) / (1.0 + seen)).astype(np.float32) + 1.0
-        weighted = counts * self.weights
-        values, vectors = np.linalg.eigh(weighted.T @ weighted)
-        self.axes = np.ascontiguousarray(vectors[:, np.argsort(values)[::-1][:RANK]], dtype=np.float32)
-        self.vectors = self._latent(counts)
-
-    def _latent(self, counts: np.ndarray) -> np.ndarray:
-        latent = (counts * self.weights) @ self.axes
+        seen = np.zeros(TERMS + WORD_TERMS, np.float32)
+        for slots, _ in rows:
+            seen[slots] += 1
+        self.weights = np.log((1.0 + len(rows)) / (1.0 + seen)).astype(np.float32) + 1.0
+        self.axes = latent_axes([(slots, values * self.weights[slots]) for slots, values in rows])
+        self.vectors = self._latent(rows)
+
+    def _latent(self, rows: Terms) -> np.ndarray:
+        weighted = [(slots, values * self.weights[slots]) for slots, values in rows]
+        latent = _times(weighted, self.axes)
         norm = np.linalg.norm(latent, axis=1, keepdims=True)
         return latent / np.where(norm > 0, norm, 1.0)
 
-    def scores(self, counts: np.ndarray) -> np.ndarray:
+    def scores(self, rows: Terms) -> np.ndarray:
         if not len(self.labels):
-            return np.full(len(counts), self.prior)
-        products = self._latent(counts) @ self.vectors.T
+            return np.full(len(rows), self.prior)
+        products = self._latent(rows) @ self.vectors.T
         k = min(NEIGHBOURS, products.shape[1])
         # Ties in similarity go to the earlier labelled row.
         nearest = np.argpartition(-products, k - 1, axis=1)[:, :k]
@@ -108,7 +162,7 @@ class Neighbours:
         votes = (weight * self.labels[nearest]).sum(axis=1)
         # One weak vote for the prior keeps texts without terms defined.
         score = (votes + 0.01 * self.prior) / (weight.sum(axis=1) + 0.01)
-        return np.where(counts.any(axis=1), score, self.prior)
+        return np.where([len(slots) > 0 for slots, _ in rows], score, self.prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Neighbours:
@@ -128,16 +182,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            vectors = [terms(text).astype(np.float16).tobytes() for text in frame["_text"]]
-            yield pd.DataFrame({"id": frame["_id"], "quality": frame["_quality"], "counts": vectors})
-
-    rows = chosen.mapInPandas(counted, "id long, quality int, counts binary")
+            found = [terms(text) for text in frame["_text"]]
+            yield pd.DataFrame(
+                {
+                    "id": frame["_id"],
+                    "quality": frame["_quality"],
+                    "slots": [slots.astype("<u2").tobytes() for slots, _ in found],
+                    "weights": [values.astype("<f2").tobytes() for _, values in found],
+                }
+            )
+
+    rows = chosen.mapInPandas(counted, "id long, quality int, slots binary, weights binary")
     # Repeated rows of one document are one example.
     rows = rows.dropDuplicates(["id"]).orderBy("id").toPandas()
-    if not len(rows):
-        return Neighbours(np.zeros((0, TERMS), np.float32), np.zeros(0))
-    counts = np.stack([np.frombuffer(x, np.float16) for x in rows["counts"]]).astype(np.float32)
-    return Neighbours(counts, rows["quality"].to_numpy())
+    found = [
+        (np.frombuffer(slots, "<u2").astype(np.int32), np.frombuffer(values, "<f2").astype(np.float32))
+        for slots, values in zip(rows["slots"], rows["weights"])
+    ]
+    return Neighbours(found, rows["quality"].to_numpy())
 
 
 def score(docs: DataFrame, model: Neighbours) -> DataFrame:
@@ -149,7 +211,7 @@ def score(docs: DataFrame, model: Neighbours) -> DataFrame:
         neighbours = shared.value
         for batch in texts:
             found = [
-                neighbours.scores(np.stack([terms(x) for x in batch.iloc[i : i + BLOCK]]))
+                neighbours.scores([terms(x) for x in batch.iloc[i : i + BLOCK]])
                 for i in range(0, len(batch), BLOCK)
             ]
             yield pd.Series(np.concatenate(found) if found else np.zeros(0))
@@ -159,9 +221,10 @@ def score(docs: DataFrame, model: Neighbours) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, columns as they were."""
-    kept = docs.withColumnRenamed("quality_score", "_given_score")
+    (held,) = fresh(docs, "given_score")
+    kept = docs.withColumnRenamed("quality_score", held)
     scored = score(kept, train(docs, labels)).filter(F.col("quality_score") >= threshold)
-    given = [F.col("_given_score" if c == "quality_score" else c).alias(c) for c in docs.columns]
+    given = [F.col(held if c == "quality_score" else c).alias(c) for c in docs.columns]
     return scored.select(*given)
 
 
