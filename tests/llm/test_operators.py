@@ -19,15 +19,15 @@ from dossier.llm import (
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(common.UPPER, common.LOWER)
 # Columns that clash with names the operators use themselves.
-CLASHES = ["kept", "host", "n_words", "spans", "rule", "score", "quality_score", "n_removed", "fp", "rank", "_verdict"]
+CLASHES = ["kept", "host", "n_words", "spans", "rule", "score", "quality_score", "n_removed", "fp", "rank", "row", "cut"]
+CLASHES += ["_verdict", "_host", "_facts", "_gone", "gone", "_key", "_fp", "_id", "id", "key", "found", "facts", "had_text", "_given_score"]
 
 
 def docs(spark, texts, clash=True):
     rows = [(i, text, "en", f"src{(i or 0) % 3}" if text != "no source" else None, 0) for i, text in texts]
     given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for name in CLASHES if clash else []:
-        if name not in ("_verdict",):
-            given = given.withColumn(name, F.lit("x"))
+    if clash:
+        given = given.withColumns({name: F.lit("x") for name in CLASHES})
     return given.repartition(3)
 
 
@@ -126,10 +126,47 @@ def test_trees_learn_lexical_labels(spark):
     scored = url_filters.filter_urls(test.select("page_id", "url"), train.select("url", "label")).join(given.select("page_id", "label"), "page_id")
     right = scored.filter((F.col("score") >= 0.5) == (F.col("label") == 1)).count()
     assert right >= 0.95 * test.count()
+    # A URL that fills most rows is one example, whatever its hash.
+    hot = train.select("url", "label").unionByName(
+        spark.range(30_000).select(F.lit("http://hot.example.com/a").alias("url"), F.lit(1).alias("label"))
+    )
+    scored = url_filters.filter_urls(test.select("page_id", "url"), hot).join(given.select("page_id", "label"), "page_id")
+    assert scored.filter((F.col("score") >= 0.5) == (F.col("label") == 1)).count() >= 0.9 * test.count()
     one_class = url_filters.filter_urls(test.select("page_id", "url"), train.filter("label = 1").select("url", "label"))
     assert {r.score for r in one_class.collect()} == {1.0}
 
 
+def features_of(url):
+    """The lexical features of a URL, one character at a time."""
+
+    def entropy(text):
+        return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host = re.split("[/?#]", rest, maxsplit=1)[0].translate(LOWER)
+    path = re.split("[?#]", rest[len(host):], maxsplit=1)[0]
+    query = re.search(r"\?([^#]*)", url)
+    digits = [sum(c in "0123456789" for c in part) / max(1, len(part)) for part in (url, host)]
+    params = query[1].count("&") + 1 if query and query[1] else 0
+    return [
+        len(url), len(host), len(path), host.count("."), path.count("/"), *digits, entropy(url), entropy(host), params,
+        url.count("-") + url.count("_"), int("#" in url), int(url.startswith("https")),
+    ]
+
+
+def test_features_equal_a_plain_count(spark):
+    draw = random.Random(6)
+    urls = ["", "none", "a://", "http://x.org?", "HTTPS://A-b.com/c_d/?q=1&r=2&&#f?g"]
+    urls += ["https://" + "".join(draw.choices("ab1-_./?&#=é", k=draw.randint(0, 40))) for _ in range(80)]
+    given = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns(
+        {"host": url_filters.host_of(F.col("url")), "path": url_filters.path_of(F.col("url"))}
+    )
+    none = spark.createDataFrame([], "_suffix string, _rate double, _seen double")
+    names = [name for name in url_filters.FEATURES if "suffix" not in name]
+    for row in url_filters.with_features(given, none, 0.5).collect():
+        assert [row[name] for name in names] == pytest.approx(features_of(row.url)), row.url
+
+
 # --- packing ---------------------------------------------------------------------
 
 
@@ -401,7 +438,7 @@ def test_hmm_scores(spark, odd, empty):
     rows = odd[1]
     held = [zlib.crc32(str(i).encode()) % 10 == 0 if i is not None else False for i, _ in rows]
     given = docs(spark, rows).withColumn("held_out", F.coalesce(common.id_remainder(F.col("doc_id"), 10) == 0, F.lit(False)))
-    model, rare, total = hmm.fit(given.filter("NOT held_out"), warm_passes=2)
+    model, rare, total = hmm.fit(given.filter("NOT held_out"), shares=3)
     tokens = [[*WORDS.findall((text or "").translate(LOWER)), None] for _, text in rows]
     counts = Counter()
     for found, out in zip(tokens, held):
@@ -554,7 +591,7 @@ def test_classifier(spark, odd, empty):
 
 def test_scores_equal_a_plain_vote():
     texts = sentences(21, 60)
-    counts = np.stack([quality_classifier.terms(t) for t in texts])
+    counts = [quality_classifier.terms(t) for t in texts]
     labels = np.array([n % 2 for n in range(60)])
     model = quality_classifier.Neighbours(counts, labels)
     latent = model._latent(counts)
@@ -566,6 +603,47 @@ def test_scores_equal_a_plain_vote():
         assert score == pytest.approx(expected, abs=1e-3)
 
 
+def test_topics_of_equal_layout(spark):
+    """Labels that depend on the wording alone: the same sentence frames, other words."""
+    draw = random.Random(31)
+    frames = ["the {} of the {} was {} by a {}.", "Every {} and each {} had {} in the {}.", "A {} is {}, but no {} can {}."]
+    lists = [["".join(draw.choices("abcdefgh", k=6)) for _ in range(120)] for _ in range(2)]
+    rows = []
+    for n in range(600):
+        used = lists[n % 2]
+        rows.append((n, " ".join(draw.choice(frames).format(*draw.choices(used, k=4)) for _ in range(6))))
+    labels = spark.createDataFrame([(n, n % 2) for n, _ in rows], "doc_id long, quality int")
+    given = docs(spark, rows)
+    scored = quality_classifier.score(given, quality_classifier.train(given, labels))
+    held = scored.filter(common.id_remainder(F.col("doc_id"), 4) == 2).collect()
+    assert sum((r.quality_score >= 0.5) == (r.doc_id % 2) for r in held) >= 0.95 * len(held)
+
+
+def test_latent_axes_equal_a_full_decomposition():
+    rows = [quality_classifier.terms(t) for t in sentences(5, 30, 60)]
+    dense = np.zeros((30, quality_classifier.TERMS + quality_classifier.WORD_TERMS))
+    for row, (slots, values) in zip(dense, rows):
+        row[slots] = values
+    axes = quality_classifier.latent_axes(rows, 8, rounds=6)
+    full = np.linalg.svd(dense, full_matrices=False)[2][:8]
+    assert np.allclose(np.abs(np.sum(axes.T * full, axis=1))[:4], 1, atol=1e-2)
+    assert np.linalg.norm(dense @ axes) == pytest.approx(np.linalg.norm(dense @ full.T), rel=1e-3)
+
+
+def test_pieces_and_blocks_lose_no_string(monkeypatch):
+    """Long texts are cut into pieces, and pieces gathered into blocks: every string is in one run."""
+    texts = [(n, " ".join(sentences(40 + n, 3)).encode()) for n in range(4)] + [(9, b"short"), (10, b"x" * 400)]
+    expected = Counter((d, p, t[p : p + 50]) for d, t in texts for p in range(len(t) - 49))
+    for piece, block in ((16 << 20, 1 << 20), (64, 150), (51, 1)):
+        monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", piece)
+        monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+        found = Counter()
+        for ids, places, _, _, cut in suffix_dedup.runs(texts, np.zeros(0, np.uint64)):
+            for doc, place, run in zip(ids.tolist(), places.tolist(), cut):
+                found.update((doc, place + i, run[i : i + 50]) for i in range(len(run) - 49))
+        assert found == expected
+
+
 # --- license scan ----------------------------------------------------------------
 
 

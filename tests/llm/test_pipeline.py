@@ -13,7 +13,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def test_every_operator_is_registered():
     import __spark_entry__
 
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     queries = __spark_entry__.queries()
     assert all(any(query.startswith(name) for query in queries) for name in names)
     assert "pipeline" in queries and set(registry.ORACLE_SQL) <= set(queries)
