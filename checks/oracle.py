@@ -434,6 +434,11 @@ SELECT target_id AS {{owner}}, 'audit_events' AS section, event_seq, sub_seq, ac
   {{metadata}} AS metadata, strftime(created_at, '{AT}') AS audit_at FROM {{rows}}"""
 
 FINALS = {
+    "observation_scan": "SELECT document_id, obs_seq, field_key, text, confidence FROM b_observations",
+    "response_scan": "SELECT document_id, content, error FROM b_responses",
+    "generated_ids": """
+SELECT case_seq, concat('case_', left(sha256(concat('["', case_seq, '","', strftime(created_at, '%Y-%m-%d %H:%M:%S'), '","',
+  applicant_name, '"]')), 16)) AS case_id FROM o_cases""",
     "decode_uploads": "SELECT document_id, decoded AS text FROM o_text",
     "ocr_blocks": _BLOCKS,
     "block_numbering": """

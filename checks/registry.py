@@ -18,7 +18,7 @@ from dossier.operators import template_fields as by_template
 from dossier.plans import processing
 from dossier.plans.records import read_by_template
 from dossier.session import checkpoint_root, configure, materialise
-from dossier.sources.readers import named, read_audit
+from dossier.sources.readers import named, read_audit, read_observations, read_responses
 from dossier.sources.templates import template_lookup, templates, without_template
 from dossier.sources.writers import append_audit
 from dossier.streaming import reviews as review_stream
@@ -149,6 +149,27 @@ def _joined(items: str, render, separator: str = "|"):
     return F.array_join(F.transform(items, render), separator)
 
 
+# --- scans ---------------------------------------------------------------------
+
+
+def observation_scan(f: Flows) -> DataFrame:
+    folder = f"{_stream_folder(f.spark)}/observations"
+    f.observations.write.parquet(folder)
+    return read_observations(f.spark, folder)
+
+
+def response_scan(f: Flows) -> DataFrame:
+    folder = f"{_stream_folder(f.spark)}/responses"
+    f.responses.write.json(folder)
+    return read_responses(f.spark, folder, "json")
+
+
+def generated_ids(f: Flows) -> DataFrame:
+    """Ids of cases that come without one."""
+    accepted, _ = intake.check_domain(f.requests.withColumn("case_id", F.lit(None).cast("string")), "case")
+    return intake.create_cases(accepted).select("case_seq", "case_id")
+
+
 # --- uploads and blocks -------------------------------------------------------
 
 
@@ -765,6 +786,9 @@ def stream_document_reviews(f: Flows) -> DataFrame:
 
 
 QUERIES = {
+    "observation_scan": observation_scan,
+    "response_scan": response_scan,
+    "generated_ids": generated_ids,
     "decode_uploads": decode_uploads,
     "ocr_blocks": ocr_blocks,
     "block_numbering": block_numbering,

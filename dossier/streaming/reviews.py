@@ -214,6 +214,40 @@ def reviewed_fields(
     return apply_targets(fields, changes) if target == "case_id" else apply_document_changes(fields, changes)
 
 
+def upsert_fields(
+    spark: SparkSession, log: str, path: str, into: str, columns: StructType, buckets: int = BUCKETS
+) -> list[int]:
+    """Bring the table ``into`` (current fields, in buckets of cases) up to date.
+
+    ``log``: the fields as an upload stream logs them. Rewritten are the buckets with
+    fields or changes that the table does not have yet, each as a whole, by dynamic
+    partition overwrite; the others are not read. Returns their numbers. Called again, or
+    after half of a call, it gives the same table.
+    """
+    state, done = State(spark, path), State(spark, into)
+    upto, seen = last_batch(spark, log), done.facts.get("fields", -1)
+    versions = state.versions.get("changes", {})
+    stale = {b for b, version in versions.items() if done.versions.get("changes", {}).get(b) != version}
+    fields = read_log(spark, log, columns).filter(F.col("batch") <= upto)
+    stale.update(bucket_numbers(fields.filter(F.col("batch") > seen)))
+    numbers = sorted(stale)
+    if numbers:
+        held = fields.filter(F.col("bucket").isin(numbers)).drop("batch", "bucket")
+        current = apply_targets(held, state.read("changes", CHANGES["case_id"], numbers))
+        (
+            current.withColumn("bucket", bucket("case_id", buckets))
+            .hint("rebalance", "bucket")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket")
+            .parquet(f"{into}/fields")
+        )
+        done.versions["changes"] = dict(versions)
+        done.facts["fields"] = upto
+        done.commit((done.batch if done.batch is not None else -1) + 1)
+    return numbers
+
+
 def last_decisions(spark: SparkSession, path: str, target: str = "case_id") -> DataFrame | None:
     """Reviewer, note, time and status after the last review per target; None so far."""
     state = State(spark, path)

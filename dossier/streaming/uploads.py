@@ -123,7 +123,10 @@ def stream_answered_documents(
         )
         found = read_log(spark, log, schema, "kind", "bucket").filter(F.col("batch") <= batch_id)
         own = found.filter(F.col("batch") == batch_id)
-        touched = found.filter(F.col("bucket").isin(bucket_numbers(own)))
+        numbers = bucket_numbers(own)
+        if not numbers:
+            return
+        touched = found.filter(F.col("bucket").isin(numbers))
         touched = touched.join(own.select("document_id").distinct(), "document_id", "left_semi")
         # A document met by several answers was handed on several times.
         asked = touched.filter("kind = 'signals'").groupBy("document_id").agg(F.any_value("signals").alias("signals"))

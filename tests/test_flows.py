@@ -27,7 +27,7 @@ from dossier.sources.readers import (
 from dossier.functions.order import in_order
 from dossier.session import discard, exists, materialise
 from dossier.sources.templates import templates
-from dossier.sources.writers import append_audit, write_exports
+from dossier.sources.writers import append_audit, clustered_files, read_clustered, write_clustered, write_exports
 
 T0 = datetime(2026, 5, 27, 10, 0, 0, 123456)
 
@@ -236,6 +236,26 @@ def test_audit_scan_is_pruned(spark, tmp_path):
     assert [r.run_id for r in scanned.collect()] == ["b"]
 
 
+def test_one_case_is_in_few_files(spark, tmp_path):
+    rows = spark.range(4000).select(
+        F.format_string("case%03d", F.col("id") % 200).alias("case_id"), F.col("id").alias("event_seq")
+    )
+    path = str(tmp_path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    write_clustered(rows.unionByName(spark.range(3000).select(F.lit("case050").alias("case_id"), F.col("id").alias("event_seq"))),
+                    path, "case_id", "event_seq")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    written = len(list((tmp_path / "rows").glob("*.parquet")))
+    assert written == 4 and len(clustered_files(spark, path, ["case199"])) == 1
+    # A case with a third of all rows is spread over files.
+    assert 1 < len(clustered_files(spark, path, ["case050"])) < written
+    for wanted in (["case199"], ["case050", "case001"]):
+        got = read_clustered(spark, path, "case_id", wanted)
+        assert {f.rsplit("/", 1)[1] for f in got.inputFiles()} == {f.rsplit("/", 1)[1] for f in clustered_files(spark, path, wanted)}
+        assert got.count() == sum(20 + 3000 * (case == "case050") for case in wanted)
+    assert read_clustered(spark, path, "case_id", ["zzz"]).count() == 0
+
+
 def test_places_in_order(spark):
     rows = spark.range(0, 1000, 1, 7).select("id", F.pmod(F.hash("id"), F.lit(13)).alias("rank"))
     got = [(r.rank, r.id) for r in in_order(rows, F.desc("rank"), "id").orderBy("place").collect()]

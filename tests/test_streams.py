@@ -15,6 +15,7 @@ from dossier.streaming.reviews import (
     review_audit,
     reviewed_fields,
     stream_reviews,
+    upsert_fields,
 )
 from dossier.streaming.layout import State, bucket, last_batch, numbered_folders
 from test_reviews import field, histories, review, tables, FIELDS
@@ -106,3 +107,30 @@ def test_a_batch_touches_its_own_buckets(spark, tmp_path):
     apply_review_batch(spark.createDataFrame([review("case7", 901, {"a_x": "newer"})], REVIEWS), 2, fields, path)
     assert _rows(reviewed_fields(spark, fields, path)) == before
     assert ("case7", "newer") in {(r[0], r[3]) for r in before}
+
+
+def test_upsert_rewrites_stale_buckets_only(spark, tmp_path):
+    fields, found = tables(spark, list(histories(30, 6)))
+    log, path, into = (str(tmp_path / name) for name in ("fields", "out", "current"))
+    _log(fields, log, 0)
+
+    def current():
+        return _rows(spark.read.parquet(f"{into}/fields").drop("bucket"))
+
+    def stamps():
+        return {f.parent.name: f.stat().st_mtime_ns for f in (tmp_path / "current" / "fields").glob("bucket=*/*.parquet")}
+
+    everything = upsert_fields(spark, log, path, into, fields.schema)
+    assert current() == _rows(fields) and len(everything) > 5
+    apply_review_batch(found, 0, log, path)
+    upsert_fields(spark, log, path, into, fields.schema)
+    assert current() == _rows(apply_case_reviews(fields, found))
+    before = stamps()
+    one = spark.createDataFrame([review("case7", 900, {"a_x": "new"})], REVIEWS)
+    apply_review_batch(one, 1, log, path)
+    number = one.select(bucket("case_id")).first()[0]
+    assert upsert_fields(spark, log, path, into, fields.schema) == [number]
+    after = stamps()
+    assert {name for name in after if before.get(name) != after[name]} == {f"bucket={number}"}
+    assert current() == _rows(apply_case_reviews(fields, found.unionByName(one)))
+    assert upsert_fields(spark, log, path, into, fields.schema) == [] and stamps() == after
