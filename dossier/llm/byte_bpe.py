@@ -65,40 +65,45 @@ class Vocabulary:
         import ahocorasick
 
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        size = max(ranks.values()) + 1
+        #: By rank: bytes, length, decimal text, and the longest shorter token it starts with.
+        self.tokens: list[bytes] = [b""] * size
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.lengths = list(map(len, self.tokens))
+        self.names = list(map(str, range(size)))
         #: The two tokens whose merge forms a token; none for single bytes.
         self.halves: dict[int, tuple[int, int]] = {}
+        self.single = [ranks[bytes([n])] for n in range(256)]
+        # Single bytes are always found, so the automaton has the longer tokens only.
         self.automaton = ahocorasick.Automaton()
-        formed = set()
+        formed = {bytes([n]) for n in range(256)}
         for token, rank in ranks.items():
             if len(token) > 1:
                 parts = merged(token, ranks, barred=token)
                 # A token that merging can't form occurs as a whole piece only.
-                if len(parts) != 2:
-                    continue
-                self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
-            formed.add(token)
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
+                if len(parts) == 2:
+                    self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
+                    formed.add(token)
+                    self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.shorter = {ranks[token]: self._prefix(token, formed) for token in formed}
-        self.lengths = {rank: len(token) for token, rank in ranks.items()}
-        self.names = {rank: str(rank) for rank in self.tokens}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-
-    def _prefix(self, token: bytes, formed: set[bytes]) -> int | None:
-        """The longest shorter token that a token starts with."""
-        found = next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in formed), None)
-        return None if found is None else self.ranks[found]
+        self.shorter: list[int | None] = [None] * size
+        for token in formed:
+            found = next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in formed), None)
+            self.shorter[ranks[token]] = None if found is None else ranks[found]
+        #: Verdicts by left * size + right, and pieces with their ids.
+        self.pairs: dict[int, bool] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both leaves both as they are."""
-        known = self.pairs.get((left, right))
+        pair = left * len(self.tokens) + right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._stay_apart(left, right)
+            known = self.pairs[pair] = self._stay_apart(left, right)
         return known
 
     def _stay_apart(self, left: int, right: int) -> bool:
@@ -129,8 +134,8 @@ class Vocabulary:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        size, lengths, shorter, pairs = len(piece), self.lengths, self.shorter, self.pairs
-        longest = [0] * size
+        size, lengths, shorter, pairs, n_tokens = len(piece), self.lengths, self.shorter, self.pairs, len(self.tokens)
+        longest = list(map(self.single.__getitem__, piece))
         for end, (n, rank) in self.automaton.iter(piece.decode("latin-1")):
             # Ends ascend, so the last one that reports a start is the longest.
             longest[end + 1 - n] = rank
@@ -139,7 +144,7 @@ class Vocabulary:
         while True:
             end = at + lengths[token]
             if open_ends[end]:
-                fits = not ids or pairs.get((ids[-1], token))
+                fits = not ids or pairs.get(ids[-1] * n_tokens + token)
                 if fits is None:
                     fits = self.compatible(ids[-1], token)
                 if fits:
@@ -162,7 +167,7 @@ class Vocabulary:
         for piece in pattern.findall(text):
             found = young.get(piece)
             if found is None:
-                found = self.old.get(piece) or self.encode_piece(piece.encode())
+                found = self.old.get(piece) or tuple(self.encode_piece(piece.encode()))
                 if len(piece) <= CACHE_LENGTH:
                     if len(young) >= CACHE_PIECES:
                         self.old, self.young = young, {}
