@@ -546,12 +546,11 @@ def spans(docs: DataFrame) -> DataFrame:
 CUT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
 
 
-def _cut(data: bytes, spans_: list[dict] | None) -> tuple[int, int, int, bytes]:
+def _cut(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, int, bytes]:
     """n_bytes, n_removed, n_spans and what is kept."""
-    if not spans_:
+    if not len(low):
         return len(data), 0, 0, data
-    pairs = np.array([(x["low"], x["high"]) for x in spans_], np.int64)
-    _, low, high = _merge_spans(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+    _, low, high = _merge_spans(np.zeros(len(low), np.int64), low, high)
     high = np.minimum(high, len(data))
     low = np.minimum(low, high)
     kept = [data[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(data)])]
@@ -573,7 +572,12 @@ def _with_cut(docs: DataFrame, characters: bool = False) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", CHUNK_BYTES):
-            found = [_cut(text.as_py() or b"", spans_.as_py()) for text, spans_ in zip(chunk["text"], chunk["spans"])]
+            spans_ = chunk["spans"].combine_chunks().fill_null([])
+            low, high = (spans_.values.field(name).to_numpy() for name in ("low", "high"))
+            edges = spans_.offsets.to_numpy().tolist()
+            found = [
+                _cut(text.as_py() or b"", low[i:j], high[i:j]) for text, i, j in zip(chunk["text"], edges, edges[1:])
+            ]
             if characters:
                 found = [(*x[:3], x[3].decode("utf-8", "ignore").encode() if x[1] else x[3]) for x in found]
             columns = [pa.array(values, kind) for values, (_, kind) in zip(zip(*found), CUT)]
