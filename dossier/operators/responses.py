@@ -266,15 +266,15 @@ def repeated_responses(responses: DataFrame) -> DataFrame:
     return counted.filter(F.col("responses") > 1)
 
 
-def parse_responses(responses: DataFrame) -> DataFrame:
+def parse_responses(responses: DataFrame, *kept: str) -> DataFrame:
     """What each response says, or why it cannot be used.
 
     Columns: document_id, outcome (``parsed``, ``failed``, ``no_response``),
-    failure, document_type, summary, fields, findings.
+    failure, document_type, summary, fields, findings, and those ``kept``.
     """
     payload, top = F.col("payload"), F.col("top")
     opened = with_computed(
-        responses.select("document_id", "content", "error"),
+        responses.select("document_id", "content", "error", *kept),
         {"payload": strict_json(clean_response(F.col("content")))},
     )
     listed = with_computed(
@@ -321,6 +321,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         F.when(parsed, _text_or(top["summary"], "")).alias("summary"),
         F.when(parsed, fields).alias("fields"),
         F.when(parsed, F.transform("read_findings", _finding)).alias("findings"),
+        *kept,
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from dossier.operators.blocks import block_table, with_pages
 from dossier.operators.intake import check_domain
-from dossier.operators.responses import latest_responses, parse_responses
+from dossier.operators.responses import parse_responses
 from dossier.plans.processing import (
     document_fields,
     document_findings,
@@ -17,6 +17,7 @@ from dossier.plans.processing import (
     process_documents,
     resolve,
 )
+from dossier.schemas import PARSED
 from dossier.streaming.layout import BUCKETS, bucket, bucket_numbers, read_log, write_bucketed
 
 
@@ -110,8 +111,11 @@ def stream_answered_documents(
     known = joined.join(cases.select("case_id", "case_type"), "case_id")
     names = [name for name in signals.columns if name not in ("document_id", "asked_at")]
     ready = known.select("document_id", F.struct(*names, "case_type").alias("signals"), F.lit("signals").alias("kind"))
-    answer = F.struct("content", "error", "response_seq").alias("answer")
-    logged = answers.select("document_id", answer, F.lit("answer").alias("kind"))
+    # Answers are read as they come; of several to a document the last one counts.
+    place = F.struct("response_seq", F.xxhash64("content", "error").alias("content"))
+    read = parse_responses(answers.withColumn("place", place), "place")
+    verdict = F.struct(*PARSED.names).alias("verdict")
+    logged = read.select("document_id", verdict, "place", F.lit("answer").alias("kind"))
     rows = ready.unionByName(logged, allowMissingColumns=True)
     schema = StructType(list(rows.drop("kind").schema.fields))
     log = f"{path}/arrived"
@@ -130,8 +134,9 @@ def stream_answered_documents(
         touched = touched.join(own.select("document_id").distinct(), "document_id", "left_semi")
         # A document met by several answers was handed on several times.
         asked = touched.filter("kind = 'signals'").groupBy("document_id").agg(F.any_value("signals").alias("signals"))
-        verdicts = parse_responses(latest_responses(touched.filter("kind = 'answer'").select("document_id", "answer.*")))
-        answered = asked.select("document_id", "signals.*").join(verdicts, "document_id", "left")
+        last = F.max_by("verdict", "place").alias("verdict")
+        verdicts = touched.filter("kind = 'answer'").groupBy("document_id").agg(last)
+        answered = asked.join(verdicts, "document_id", "left").select("document_id", "signals.*", "verdict.*")
         _write_documents(spark, resolve(answered), path, batch_id, buckets)
 
     return (
