@@ -125,10 +125,10 @@ def fold_mentions(arrived: DataFrame, mentioned: DataFrame, bucket_rows: int = B
         .withColumns(
             {
                 "target": F.last("field_id", ignorenulls=True).over(so_far),
-                "is_open": F.last("field_id", ignorenulls=True).over(whole),
+                "latest": F.last("field_id", ignorenulls=True).over(whole),
             }
         )
-        .withColumn("is_open", F.col("target").eqNullSafe(F.col("is_open")) | F.col("target").isNull())
+        .withColumn("is_open", F.col("target").isNull() | (F.col("target") == F.col("latest")))
         .groupBy("case_id", "key", "bucket", "target", "is_open")
         .agg(
             F.count("value").alias("times"),

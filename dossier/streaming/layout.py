@@ -15,7 +15,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructType
 
 # Buckets of ids. To be raised with the number of ids, before the first batch.
 BUCKETS = 32
