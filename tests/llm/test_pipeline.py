@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from checks.compare import differences, duck
-from dossier.llm import registry
+from dossier.llm import near_copies, registry
 from dossier.session import materialise
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -128,3 +130,37 @@ def test_near_copies_of_a_large_group(spark):
     texts = [copy_of(draw, base, 0.9) for _ in range(300)]
     docs = spark.createDataFrame(list(enumerate([base, *texts])), "doc_id long, text string")
     assert [row.doc_id for row in corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect()] == [0]
+
+
+def test_near_copies_are_found_by_fingerprints_of_bits(spark, monkeypatch):
+    """SimHash is what retrieves: fingerprints that are as far apart as can be link nothing."""
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(900)]
+    text = " ".join(draw.choices(words, k=300))
+    one, other = (near_copies.prints(near_copies.shingles(x)) for x in (text, copy_of(draw, text, 0.8)))
+    far = near_copies.prints(near_copies.shingles(" ".join(draw.choices(words, k=300))))
+    apart = [int(np.bitwise_count(one ^ x).sum()) / near_copies.BITS for x in (other, far)]
+    assert 0.10 < apart[0] < 0.20 and 0.42 < apart[1] < 0.58
+    # By hand: a bit is set if it is in over half of the hashes.
+    found = near_copies.shingles("a b c d e f g")
+    single = [near_copies.prints(found[i : i + 1]) for i in range(3)]
+    voted = (single[0] & single[1]) | (single[0] & single[2]) | (single[1] & single[2])
+    assert len(found) == 3 and (near_copies.prints(found) == voted).all()
+
+
+def test_large_groups_are_as_brute_force_has_them(spark):
+    """Varied copies of one text: of a group of any size every pair of candidates counts."""
+    draw = random.Random(21)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(900)]
+    base = " ".join(draw.choices(words, k=300))
+    texts = [copy_of(draw, base, draw.choice([0.76, 0.87])) for _ in range(160)]
+    sets = [set(near_copies.shingles(x).tolist()) for x in texts]
+    first = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and first[i] != first[j]:
+                low, high = sorted((first[i], first[j]))
+                first = [low if x == high else x for x in first]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {row.doc_id for row in corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect()}
+    assert kept == set(first) and len(kept) > 20
