@@ -164,3 +164,25 @@ def test_large_groups_are_as_brute_force_has_them(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {row.doc_id for row in corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect()}
     assert kept == set(first) and len(kept) > 20
+
+
+def test_texts_that_are_alike_do_not_cost_their_square(spark, monkeypatch):
+    """Of a group whose pairs are nearly all below 0.8, few pairs of sets are compared, and none is lost."""
+    draw = random.Random(31)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(900)]
+    base = " ".join(draw.choices(words, k=200))
+    texts = [copy_of(draw, base, 0.8 if i < 30 else 0.72) for i in range(330)]
+    compared, write = [], near_copies.materialise
+
+    def counted(rows, name="table"):
+        written = write(rows, name)
+        if name == "candidates":
+            only = "b IS NOT NULL AND NOT left" if "left" in written.columns else "b IS NOT NULL"
+            compared.append(written.filter(only).count())
+        return written
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    docs = spark.createDataFrame(list(enumerate([base, *texts])), "doc_id long, text string")
+    kept = {row.doc_id for row in corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect()}
+    assert kept == {0} | set(range(31, 331))
+    assert sum(compared) < 60 * len(texts)
